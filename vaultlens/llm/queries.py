@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlens.llm import chat, decontamination, fingerprints, mixing, token_counts, token_files
-from vaultlens.llm.common import scratch, table
+from vaultlens.llm import chat, decontamination, fingerprints, mixing, quality, token_counts, token_files
+from vaultlens.llm.common import scratch, stored, table
 
 MAX_TOKENS = 1024
 
@@ -21,6 +21,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+KEEP_FROM = 0.3
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(quality.features(table(spark, sf_dir, "documents")), "quality-stats")
+    model = quality.fit(quality.training_rows(stats, table(spark, sf_dir, "labels")))
+    scored = quality.score_features(stats, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+
+
 def write_and_read_tokens(docs: DataFrame) -> DataFrame:
     path = scratch(docs.sparkSession, "token-files")
     token_files.write_shards(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49408)
@@ -102,6 +112,7 @@ FROM placed
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_token_files": op4_token_files,
         "op5_decontamination": op5_decontamination,
         "op7_fingerprints": op7_fingerprints,
