@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlens.llm import chat, decontamination, fingerprints, mixing, quality, token_counts, token_files
+from vaultlens.llm import chat, decontamination, fingerprints, mixing, near_duplicates, quality, token_counts, token_files
 from vaultlens.llm.common import scratch, stored, table
 
 MAX_TOKENS = 1024
@@ -73,6 +73,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.select("conv_id", read_back("formatted", mask).alias("r")).select("conv_id", "r.*")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -117,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op7_fingerprints": op7_fingerprints,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_mixing": op10_mixing,
     }
 
