@@ -15,7 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 4 << 20
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Send Python workers at most 1,000 rows at once, unless the session says otherwise: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

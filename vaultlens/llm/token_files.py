@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ from vaultlens.llm.common import arrow_schema, batch, spark_type
 BLOCK = 4096
 #: Ids after which a shard is closed at the next document.
 SHARD_IDS = 1 << 20
+#: Bytes of text that a worker encodes at once; a longer text is encoded alone, whole.
+SLICE = 4 << 20
+#: Rows up to which the shards' starts, 24 bytes each, are broadcast rather than joined by a shuffle.
+MOST_STARTS = 500_000
 SHARD = "part int, first_seq int, bits int, n_docs int, n_ids long, doc_ids array<bigint>, doc_ends binary, block_offsets binary, ids binary"
 
 
@@ -82,10 +87,13 @@ def read_ids(shard: dict, a: int, b: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of whole texts by encoding each distinct blank-separated word once.
+    """Ids of whole texts by encoding each distinct word once.
 
-    Right for vocabularies whose tokens never span or hold blanks, as the
-    word_bpe file's, which drops them before it splits a text into words.
+    For vocabularies such as the word_bpe file's, which lower-cases a text and
+    cuts it at blanks and between letters and other signs before it is encoded:
+    lower-casing ASCII letters and cutting at blanks and between an ASCII letter
+    and a sign that follows it changes no id.  Words with ``<|`` may hold special
+    strings, which are found before all that, and stay as they are.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -95,42 +103,72 @@ class WordEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
+        vocabulary = self.tok.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
-        self.pool, self.filled = np.zeros(1 << 20, np.int32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.length, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(length.sum())), length
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            for w, e in zip(part := words[i : i + 4096], self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.known)
-                if self.filled + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
-                if k == len(self.start):
-                    self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-                self.pool[self.filled : self.filled + len(ids)] = ids
-                self.start[k], self.length[k] = self.filled, len(ids)
-                self.filled += len(ids)
-                self.known[w] = k
+        """Encode new words; those of letters alone are one word to the library too, so it gets many at once."""
+        plain = [w for w in words if w.isalpha()]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids, _ = self.encode([" ".join(part[k : k + 64]) for k in range(0, len(part), 64)])
+            length = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+            self.add(part, *((ids, length) if len(length) == len(part) and length.sum() == len(ids) else self.encode(part)))
+        other = [w for w in words if not w.isalpha()]
+        for i in range(0, len(other), 4096):
+            self.add(other[i : i + 4096], *self.encode(other[i : i + 4096]))
+
+    def add(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.pool, self.length = np.concatenate([self.pool, ids]), np.concatenate([self.length, length])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+
+    def forget(self) -> None:
+        """Keep the words that several slices had, or none if those are too many."""
+        keep = self.used >= 2
+        if keep.sum() > self.most // 2:
+            keep = self.used >= np.sort(self.used)[-self.most // 4]
+        if keep.sum() > self.most // 2:
+            keep[:] = False
+        new = np.cumsum(keep) - 1
+        self.known = {w: int(new[k]) for w, k in self.known.items() if keep[k]}
+        self.pool = self.pool[np.repeat(keep, self.length)]
+        self.length, self.used = self.length[keep], self.used[keep] // 2
+
+    @staticmethod
+    def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(words of all texts, words before each text and at the end)."""
+        texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " ")
+        odd = pc.match_substring(texts, "<|")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,!?;:$%&*#])", r"\1 \2")
+        if pc.any(odd).as_py():
+            plain = pc.if_else(odd, texts, plain)
+        words = pc.split_pattern(plain, " ")
+        return words.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids before each text and at the end)."""
-        texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " ")
-        split = pc.split_pattern(texts, " ")
-        ends = np.asarray(split.offsets).astype(np.int64)
-        if split.offset or len(ends) != len(texts) + 1:
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        coded = split.flatten().dictionary_encode()
+        words, ends = self.split(texts)
+        coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
-            self.clear()
+            self.forget()
         self.learn([w for w in distinct if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.used[at] += 1
+        at = at[coded.indices.to_numpy()]
+        start = np.concatenate([[0], np.cumsum(self.length)])[at]
         length = self.length[at]
         before = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(self.start[at] - before[:-1], length) + np.arange(before[-1])]
+        ids = self.pool[np.repeat(start - before[:-1], length) + np.arange(before[-1])]
         return ids, before[ends]
 
 
@@ -156,7 +194,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
         for b in batches:
             texts = b.column("text")
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cut = np.searchsorted(np.cumsum(size), np.arange(1, size.sum() // (4 << 20) + 1) * (4 << 20)) + 1
+            cut = np.searchsorted(np.cumsum(size), np.arange(1, size.sum() // SLICE + 1) * SLICE) + 1
             for i, j in zip(edges := [0, *np.unique(cut[cut < b.num_rows]).tolist(), b.num_rows], edges[1:], strict=False):
                 if i == j:
                     continue
@@ -184,7 +222,8 @@ def read_shards(spark, path: str) -> DataFrame:
     shards = spark.read.schema(spark_type(SHARD)).parquet(path)
     order = Window.orderBy("part", "first_seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("part", "first_seq", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    return shards.join(starts.drop("n_ids"), ["part", "first_seq"])
+    starts = starts.drop("n_ids")
+    return shards.join(F.broadcast(starts) if starts.count() <= MOST_STARTS else starts, ["part", "first_seq"])
 
 
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
