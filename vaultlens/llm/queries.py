@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlens.llm import chat, decontamination, fingerprints, mixing, near_duplicates, quality, token_counts, token_files
+from vaultlens.llm import chat, decontamination, fingerprints, language_model, mixing, near_duplicates, quality, token_counts, token_files
 from vaultlens.llm.common import scratch, stored, table
 
 MAX_TOKENS = 1024
@@ -49,6 +49,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_token_files": op4_token_files,
         "op5_decontamination": op5_decontamination,
+        "op6_language_model": op6_language_model,
         "op7_fingerprints": op7_fingerprints,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_near_duplicates": op9_near_duplicates,
