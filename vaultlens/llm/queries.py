@@ -10,12 +10,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultlens.llm import chat, decontamination, fingerprints, language_model, mixing, near_duplicates, quality, token_counts, token_files
+from vaultlens.llm import chat, decontamination, fingerprints, language_model, mixing, near_duplicates, quality, suffix_dedup, token_counts, token_files
 from vaultlens.llm.common import scratch, stored, table
 
 MAX_TOKENS = 1024
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-cache"))
     return out.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -119,6 +123,7 @@ FROM placed
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_token_files": op4_token_files,
