@@ -15,6 +15,9 @@ leaves the cache as it is; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,8 +29,13 @@ from vaultlens.llm.common import arrow_schema, batch
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
+#: Characters of text that are encoded at once; the library needs some hundred bytes of memory for each.
+PIECE = 100_000
+
+
 def load_tokenizer(path: str) -> Callable[[list[str]], list]:
     """texts -> token id lists, as the file's library gives them by default."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
@@ -50,6 +58,38 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(release.encode() + b"\0" + f.read()).hexdigest()
 
 
+def cuts_at_blanks(path: str) -> bool:
+    """Whether the file's tokens begin at every single blank between other characters, so that texts may be cut there."""
+    if not path.endswith(".json"):
+        return False
+    with open(path) as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+
+
+def pieces(text: str, limit: int = PIECE) -> list[str]:
+    """The text, cut before a single blank after each limit characters."""
+    out, start = [], 0
+    cut = re.compile(r"(?<=\S) (?=\S)")
+    while len(text) - start > limit and (m := cut.search(text, start + limit)):
+        out.append(text[start : m.start()])
+        start = m.start()
+    return [*out, text[start:]]
+
+
+def batches_of(texts: list[str], limit: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about limit characters."""
+    i = size = 0
+    for j, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield i, j
+            i, size = j, 0
+        size += len(t)
+    if i < len(texts):
+        yield i, len(texts)
+
+
 def normalised(text: Column) -> Column:
     """Content that the counts depend on: the text itself, null as empty, since case and blanks change tokens."""
     return F.coalesce(text, F.lit(""))
@@ -71,12 +111,15 @@ def encode_misses(texts: DataFrame, tokenizer_path: str, version: str) -> DataFr
     out = arrow_schema(CACHE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(tokenizer_path)
+        encode, cut = load_tokenizer(tokenizer_path), cuts_at_blanks(tokenizer_path)
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                n = [len(ids) for ids in encode(part.column("content").to_pylist())]
-                yield batch(out, part.column("content_digest"), [version] * len(n), n)
+            texts = b.column("content").to_pylist()
+            n = [0] * len(texts)
+            parts = [(k, p) for k, t in enumerate(texts) for p in (pieces(t) if cut else [t])]
+            for i, j in batches_of([p for _, p in parts]):
+                for (k, _), ids in zip(parts[i:j], encode([p for _, p in parts[i:j]]), strict=True):
+                    n[k] += len(ids)
+            yield batch(out, b.column("content_digest"), [version] * len(n), n)
 
     return texts.select("content_digest", "content").mapInArrow(count, CACHE)
 
