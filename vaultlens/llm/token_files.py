@@ -21,6 +21,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -35,9 +36,9 @@ from vaultlens.llm.common import arrow_schema, batch, spark_type
 
 BLOCK = 4096
 #: Ids after which a shard is closed at the next document.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
 #: Bytes of text that a worker encodes at once; a longer text is encoded alone, whole.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Rows up to which the shards' starts, 24 bytes each, are broadcast rather than joined by a shuffle.
 MOST_STARTS = 500_000
 SHARD = "part int, first_seq int, bits int, n_docs int, n_ids long, doc_ids array<bigint>, doc_ends binary, block_offsets binary, ids binary"
@@ -96,9 +97,10 @@ class WordEncoder:
     strings, which are found before all that, and stay as they are.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -201,6 +203,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
                 ids, at = encoder(texts.slice(i, j - i))
                 ids = np.insert(ids, at[1:], end_id)
                 at = at[1:] + np.arange(1, j - i + 1)
+                pa.default_memory_pool().release_unused()
                 held.append(ids)
                 names.append(b.column("doc_id").slice(i, j - i))
                 ends.append(at + n)
