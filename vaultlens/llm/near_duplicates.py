@@ -12,7 +12,8 @@ with probability 6e-6.  No bucket's pairs are enumerated: documents with equal
 sets become one class first; every bucket's members are compared with a few of
 its members that stand in the most populous buckets (hubs); buckets whose
 members then are one component are done.  What is left is compared across
-components, without a cap.  Links are confirmed on the full sets, taken from
+components, without a cap, but for pairs that can't be linked since too many
+shingles of one are nobody else's.  Links are confirmed on the full sets, taken from
 whole texts.  A hub's members are dealt out in salted groups, each with a copy
 of the hub's text.
 
@@ -40,6 +41,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Parts, by hash, in which a set's shingles are counted to bound intersections.
+PARTS = 32
 #: Members that share a task with one copy of their hub's text.
 GROUP = 500
 STEP = [np.uint64(pow(0x9FB21C651E98DF25, k + 1, 1 << 64)) for k in range(SHINGLE)]
@@ -106,7 +109,7 @@ def agree(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inter >= PERCENT * (len(both) - inter) > 0
 
 
-SKETCH = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<bigint>"
+SKETCH = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<bigint>, parts array<int>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -121,7 +124,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys = band_keys(sketch(sets))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
-                yield batch(out, b.column("doc_id").slice(i, j - i).cast(pa.int64()), size, *(t.astype(np.int64) for t in total), bands.cast(out.field("bands").type))
+                row = np.repeat(np.arange(len(sets)), size)
+                part = np.bincount(row * PARTS + (np.concatenate(sets) % np.uint64(PARTS)).astype(np.int64), minlength=PARTS * len(sets)).astype(np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * PARTS, pa.int32()), pa.array(part))
+                lists = bands.cast(out.field("bands").type), parts.cast(out.field("parts").type)
+                yield batch(out, b.column("doc_id").slice(i, j - i).cast(pa.int64()), size, *(t.astype(np.int64) for t in total), *lists)
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
@@ -199,19 +206,58 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.drop("was")
 
 
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """node, own: how many of its shingles no other node of texts (node, text) has, for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, off in common.chunks(b.column("text"), 1 << 20):
+                sets = shingles(data, off)
+                node = np.repeat(b.column("node").to_numpy(zero_copy_only=False)[i:j], [len(s) for s in sets])
+                flat = np.concatenate(sets)
+                part = (flat % np.uint64(PARTS)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(flat.astype(np.int64)), pa.array(part)], ["node", "shingle", "part"])
+
+    tokens = texts.mapInArrow(run, "node long, shingle long, part int")
+    once = tokens.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.first("part").alias("part")).where("node = last")
+    return once.groupBy("node").agg(F.array(*(F.count_if(F.col("part") == k).cast("int") for k in range(PARTS))).alias("own"))
+
+
+def unresolved_pairs(left: DataFrame, alone: DataFrame) -> DataFrame:
+    """Distinct (hub, node) of different components that share a bucket, but for those that can't be linked.
+
+    A pair's intersection has none of the shingles that only one node has, and
+    in each part no more than the fewer of the two: both bounds are exact.
+    left: key, node, n_shingles, component, parts.
+    """
+    shared = F.zip_with("parts", F.coalesce("own", F.array_repeat(F.lit(0), PARTS)), lambda p, o: p - o)
+    left = left.join(alone, "node", "left").withColumn("parts", shared).drop("own")
+    left = left.withColumn("shared", F.aggregate("parts", F.lit(0), lambda a, p: a + p))
+    left = stored(left.where(100 * F.col("shared") >= PERCENT * F.col("n_shingles")), "unresolved")
+    other = left.select("key", *(F.col(c).alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "n_shingles", "component", "shared", "parts")))
+
+    def reaches(most):
+        return 100 * most >= PERCENT * (F.col("n_shingles") + F.col("hub_n_shingles") - most)
+
+    by_part = sum((F.least(F.get("parts", F.lit(k)), F.get("hub_parts", F.lit(k))) for k in range(PARTS)), F.lit(0))
+    able = F.expr("hub < node and hub_component != component") & reaches(F.least("shared", "hub_shared")) & reaches(by_part)
+    return left.join(other, (left["key"] == other["key"]) & able).select("hub", "node").distinct()
+
+
 def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, component for the classes (node, n_shingles, bands) that are linked with another."""
+    """node, component for the classes (node, n_shingles, bands, parts) that are linked with another."""
     members = bucket_members(classes)
     texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = stored(texts.join(members.select("node").distinct(), "node", "left_semi"), "member-texts")
+    texts = stored(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "member-texts")
     tried = stored(hub_pairs(members), "hub-pairs")
     links = stored(confirm(tried, texts), "hub-links")
     found = components(links)
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = stored(placed.join(split, "key").select("key", "node", "n_shingles", "component"), "unresolved")
-    other = left.select("key", F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"))
-    pairs = alike_in_size(left.join(other, "key").where("hub < node and hub_component != component"), "n_shingles", "hub_n").select("hub", "node").distinct()
+    left = placed.join(split, "key").select("key", "node", "n_shingles", "component").join(classes.select("node", "parts"), "node")
+    left = stored(left, "unresolved")
+    alone = own_shingles(texts.join(left.select("node").distinct(), "node", "left_semi"))
+    pairs = unresolved_pairs(left, alone)
     known = tried.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
     pairs = stored(pairs.join(known, ["hub", "node"], "left_anti"), "cross-pairs")
     more = stored(confirm(pairs, texts), "cross-links")
@@ -222,10 +268,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     made = stored(sketches(docs), "sketches")
     key = ["digest_a", "digest_b", "n_shingles"]
-    classes = made.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    classes = made.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("parts").alias("parts"))
     classes = stored(classes, "classes")
     found = link_classes(classes, docs)
     classes = classes.select(*key, "node").join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("class_component"))
-    out = made.drop("bands").join(classes, key, "left")
+    out = made.drop("bands", "parts").join(classes, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
