@@ -210,7 +210,7 @@ def identify(spark, sf_dir):
     k = F.col("page_id") % 7
     head = F.when(k == 0, F.lit(b"XP3\r\n \n\x1a\x8b\x67\x01....")).when(k == 1, F.lit(b"vf\x66\0\0\0")).when(k == 2, F.lit(b"MZ\x90\0")).otherwise(F.lit(b"no"))
     tail = F.when(k == 2, F.lit(b"\1\0\0\0lv")).otherwise(F.lit(b"......"))
-    name = F.concat("url", F.when(k == 3, ".GSP").when(k == 4, ".det").otherwise(".html"))
+    name = F.concat("url", F.when(k == 3, F.lit("index.GSP")).when(k == 4, F.lit("index.det")).otherwise(F.lit("index.html")))
     return read(spark, sf_dir, "pages").select("page_id", paths.identify_format(name, head, tail).alias("format"))
 
 
