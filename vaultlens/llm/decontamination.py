@@ -149,7 +149,7 @@ def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
                 starts = np.frombuffer(row["doc_starts"], "<u4").astype(np.int64)
                 ends = np.frombuffer(row["ends"], "<u4").astype(np.int64)
                 gaps = np.frombuffer(row["gaps"], "<u4").astype(np.int64)
-                first = np.concatenate([[0], ends[:-1]])
+                first = np.concatenate([[0], ends])[:-1]
                 present = np.frombuffer(row["terms"], "<u4").tolist()
                 lists = {t: np.cumsum(gaps[i:j]) for t, i, j in zip(present, first.tolist(), ends.tolist(), strict=True)}
                 delta = np.zeros(starts[-1] + 1, np.int64)
@@ -184,8 +184,8 @@ def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, block_words: int = 2_000_000) -> DataFrame:
     """FOUND for every document of docs (doc_id, text) against items (item_id, text).
 
-    With more than one block of queries, rows are matched again by their place
-    in the input's partitions; n_hit is then taken from the union of spans.
+    With more than one block of queries the blocks' results are merged by
+    doc_id, n_hit from the union of spans, so repeated doc_ids then share a row.
     """
     found = None
     for k, queries in enumerate(query_blocks(items, window, block_words)):
