@@ -190,3 +190,19 @@ def test_libraries(spark):
 
     text = detect.toml_entry("k", 'A "game"', "hash-xor", {"shift": 3}, [("t", "a.tpm")], [("h", "data.xp3"), ("i", "patch2.xp3")])
     assert tomllib.loads(text)["games"]["k"] == {"title": 'A "game"', "encryption": "hash-xor", "shift": 3, "tpm_hashes": ["t"], "xp3_hashes": ["h"]}
+
+
+def test_observations(spark):
+    from vaultlens.codecs.ciphers import SPIN
+
+    seen = spark.createDataFrame([(h, h >> 3 & 255) for h in (0xDEADBEEF, 0x12345678, 77)], "h long, key long")
+    formulas = detect.matching_formulas(seen)
+    assert [r.formula for r in formulas.collect()] == ["h >> 3"]
+    assert [tuple(r) for r in detect.formula_candidates(formulas).collect()] == [("hash-xor", 3)]
+    yuzu = spark.createDataFrame([(0x1DDB6E7A, 0xD0), (0x1DDB6E7B, 1)], "h long, key long")
+    assert [r.scheme for r in detect.matching_formulas(yuzu).collect()] == ["bytes"]
+    spun = detect.map_traits(spark.createDataFrame([(i, SPIN[i]) for i in range(256)], "given int, made int")).first()
+    assert spun.spins and spun.bijective == (len(set(SPIN)) == 256) and spun.xor_key is None
+    xor = detect.map_traits(spark.createDataFrame([(i, i ^ 9) for i in range(256)], "given int, made int")).first()
+    assert (xor.bijective, xor.involution, xor.xor_key, xor.spins) == (True, True, 9, False)
+    assert detect.depends_on(spark.createDataFrame([(1, 2), (1, 3)], "k int, v int"), "k", "v")

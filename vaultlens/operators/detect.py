@@ -239,3 +239,40 @@ def toml_entry(key: str, title: str, encryption: str, parameters: dict, plugins:
     for name, hashes in (("tpm_hashes", plugins), ("xp3_hashes", [h for h in archives if not h[1].startswith("patch")])):
         lines += [f"{name} = [", *(f'    "{h}", # {file}' for h, file in hashes), "]"]
     return "\n".join(lines)
+
+
+# --- what observed keys and byte maps say about an unknown scheme ------------------------
+
+
+def matching_formulas(observations: DataFrame) -> DataFrame:
+    """formula, scheme that give the key byte of every observation (h, key)."""
+    from vaultlens.functions.bytes import key_formulas
+    from vaultlens.operators.relational import all_hold
+
+    tries = observations.select("key", F.inline(key_formulas(F.col("h"))).alias("formula", "scheme", "guess"))
+    return all_hold(tries, ["formula", "scheme"], F.col("key") == F.col("guess")).select("formula", "scheme")
+
+
+def formula_candidates(formulas: DataFrame) -> DataFrame:
+    """Schemes that can be tried for matching formulas: encryption and its shift."""
+    shift = F.regexp_extract("scheme", r"^hash-xor shift=(\d+)$", 1)
+    return formulas.where(shift != "").select(F.lit("hash-xor").alias("encryption"), shift.cast("int").alias("shift"))
+
+
+def map_traits(pairs: DataFrame) -> DataFrame:
+    """One row about a byte map (given, made): bijective, involution, xor_key (null unless one fits all changed bytes), spins."""
+    back = pairs.select(F.col("given").alias("made"), F.col("made").alias("again"))
+    both = pairs.join(F.broadcast(back), "made", "left")  # 256 rows at most
+    given, made = F.col("given"), F.col("made")
+    turn = F.bit_count(given) % 8
+    spun = F.expr("(given * int(pow(2, bit_count(given) % 8))) % 256 + (given * int(pow(2, bit_count(given) % 8))) div 256")
+    keys = F.collect_set(F.when(given != made, given.bitwiseXOR(made)))
+    return both.agg(
+        (F.countDistinct("made") == 256).alias("bijective"), F.coalesce(F.bool_and(F.col("again") == given), F.lit(False)).alias("involution"),
+        F.when(F.size(keys) == 1, F.get(keys, F.lit(0))).alias("xor_key"), F.bool_and(made == F.when(turn == 0, given).otherwise(spun)).alias("spins"),
+    )
+
+
+def depends_on(observations: DataFrame, key: str, value: str) -> bool:
+    """Whether one key was seen with more than one value."""
+    return not observations.groupBy(key).agg(F.countDistinct(value).alias("n")).where("n > 1").isEmpty()
