@@ -206,3 +206,23 @@ def test_observations(spark):
     xor = detect.map_traits(spark.createDataFrame([(i, i ^ 9) for i in range(256)], "given int, made int")).first()
     assert (xor.bijective, xor.involution, xor.xor_key, xor.spins) == (True, True, 9, False)
     assert detect.depends_on(spark.createDataFrame([(1, 2), (1, 3)], "k int, v int"), "k", "v")
+
+
+def test_identify_games(spark):
+    plugin = program.make_plugin(BLOCK)
+    orders = detect.PROGRAM_ORDERS[2]
+    cx = {"control_block": program.control_block(plugin), "mask": 0x100, "offset": 0x100, "prolog_order": orders[0], "odd_branch_order": orders[1], "even_branch_order": orders[2]}
+    games = {
+        "listed": build_game("poringsoft"), "plain": build_game(None), "few": xp3.build([Member("a.txt", b"x")]), "spin": build_game("pinpoint"),
+        "cx": build_game("cxcrypt", cx), "odd": build_game("fixed-xor", {"key": "0102"}),
+    }
+    rows = [(k, f"{k}/data.xp3", xp3.structure_digest(v), bytearray(v), bytearray(plugin) if k == "cx" else None) for k, v in games.items()]
+    found = spark.createDataFrame(rows, "game_dir string, archive string, hash string, content binary, plugin binary")
+    books = detect.library(spark, f'[games.l]\nencryption = "poringsoft"\nxp3_hashes = ["{rows[0][2]}"]\n')
+    plugins = spark.createDataFrame([], "game_dir string, name string, hash string")
+    got = {r.game_dir: r for r in detect.identify_games(found, plugins, books, detect.library(spark, "", "plain")).collect()}
+    assert {k: (r.status, r.encryption) for k, r in got.items()} == {
+        "listed": ("known", "poringsoft"), "plain": ("unencrypted", None), "few": ("inconclusive", None), "spin": ("confirmed", "pinpoint"),
+        "cx": ("confirmed", "cxcrypt"), "odd": ("failed", None),
+    }
+    assert got["cx"].checked == 3 and got["cx"].failures == 0

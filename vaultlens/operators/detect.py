@@ -21,7 +21,7 @@ from vaultlens.codecs.errors import MalformedError
 from vaultlens.codecs.program import control_block
 from vaultlens.formats import xp3
 from vaultlens.functions import paths
-from vaultlens.operators.relational import first_match, last_wins
+from vaultlens.operators.relational import early_exit, first_match, last_wins
 
 RESERVED = {"title", "encryption", "tpm_hashes", "xp3_hashes"}
 LIBRARY = "game_key string, ordinal int, title string, encryption string, parameters string, kind string, tpm_hashes array<string>, xp3_hashes array<string>"
@@ -160,42 +160,57 @@ def detect(archives: DataFrame, plugins: DataFrame, books: DataFrame, force: boo
 CHECKS = "archive string, place int, file_name string, ext string, encrypted boolean, ok boolean, got string"
 
 
-def verification_checks(archives: DataFrame, scheme: str | None, parameters: dict | None = None, most: int = 5) -> DataFrame:
-    """CHECKS of each archive's candidates under a scheme (None: as they are).
+def fits(data: bytes | None, ext: str) -> bool:
+    """Whether bytes begin as their extension says; a PNG of 16 bytes or more has its header chunk next."""
+    return bool(data) and data.startswith(paths.SIGNATURES[ext]) and (ext != ".png" or len(data) < 16 or data[12:16] == b"IHDR")
+
+
+def checks_of(content: bytes, scheme: str | None, parameters: dict, most: int) -> Iterator[tuple]:
+    """(place, name, extension, flag, ok, first bytes) of an archive's candidates under a scheme, None: as they are."""
+    place = 0
+    for entry, ext, raw in candidates(content, force=True):
+        segment = entry.segments[0]
+        plain = xp3.try_decrypt(raw, segment, entry.key or 0, scheme or "null", parameters)
+        ok = fits(plain, ext)
+        if not scheme and plain is None:
+            continue
+        if scheme and not ok:
+            bare = xp3.try_decrypt(raw, segment, 0, "null")
+            if bare is not None and (segment.compressed or fits(bare, ext)):
+                continue
+        if scheme and place >= most:
+            return
+        yield place, entry.file_name, ext, entry.encrypted, ok, plain[:8].hex() if plain and len(plain) >= 8 else None
+        place += 1
+
+
+def scheme_checks(archives: DataFrame, most: int = 5) -> DataFrame:
+    """CHECKS of archives (archive, content, plugin, encryption, parameters), each under its own scheme; null: as they are.
 
     Failures that are plain after all aren't counted; at most ``most`` checks of
-    an archive count.
+    an archive under a scheme count.
     """
 
-    def fits(data: bytes | None, ext: str) -> bool:
-        return bool(data) and data.startswith(paths.SIGNATURES[ext]) and (ext != ".png" or len(data) < 16 or data[12:16] == b"IHDR")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for archive, content in zip(b.archive, b.content, strict=True):
+            for archive, content, plugin, scheme, parameters in zip(b.archive, b.content, b.plugin, b.encryption, b.parameters, strict=True):
+                options = json.loads(parameters) if parameters else {}
+                if scheme == "cxcrypt" and plugin is not None:
+                    options["control_block"] = control_block(plugin) or ()
                 try:
-                    found = candidates(content, force=True)
+                    rows += [(archive, *check) for check in checks_of(content, scheme, options, most)]
                 except MalformedError:
                     continue
-                place = 0
-                for entry, ext, raw in found:
-                    segment = entry.segments[0]
-                    plain = xp3.try_decrypt(raw, segment, entry.key or 0, scheme or "null", parameters)
-                    ok = fits(plain, ext)
-                    if not scheme and plain is None:
-                        continue
-                    if scheme and not ok:
-                        bare = xp3.try_decrypt(raw, segment, 0, "null")
-                        if bare is not None and (segment.compressed or fits(bare, ext)):
-                            continue
-                    if scheme and place >= most:
-                        break
-                    rows.append((archive, place, entry.file_name, ext, entry.encrypted, ok, plain[:8].hex() if plain and len(plain) >= 8 else None))
-                    place += 1
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in CHECKS.split(", ")])
 
-    return archives.select("archive", "content").mapInPandas(run, CHECKS)
+    return archives.select("archive", "content", "plugin", "encryption", "parameters").mapInPandas(run, CHECKS)
+
+
+def verification_checks(archives: DataFrame, scheme: str | None, parameters: dict | None = None, most: int = 5) -> DataFrame:
+    """CHECKS of archives (archive, content) under one scheme."""
+    one = {"plugin": F.lit(None).cast("binary"), "encryption": F.lit(scheme).cast("string"), "parameters": F.lit(json.dumps(parameters or {}))}
+    return scheme_checks(archives.withColumns(one), most)
 
 
 def verdict(checks: DataFrame, group: list[str], enough: int = 3) -> DataFrame:
@@ -241,6 +256,44 @@ def toml_entry(key: str, title: str, encryption: str, parameters: dict, plugins:
     return "\n".join(lines)
 
 
+def identify_games(archives: DataFrame, plugins: DataFrame, books: DataFrame, plain: DataFrame, enough: int = 3) -> DataFrame:
+    """game_dir, status, encryption, parameters, checked, failures for every folder of archives.
+
+    archives: game_dir, archive, hash, content, plugin; plugins: game_dir, name,
+    hash.  Statuses: known; unencrypted (no flags, and enough contents are as
+    their names say); inconclusive (no flags, too few contents); confirmed (a
+    scheme that fits enough contents and fails none); failed.  Folders without
+    flags whose contents don't fit are probed like flagged ones.
+    """
+    from vaultlens.operators import archives as relations
+
+    blank = {"encryption": F.lit(None).cast("string"), "parameters": F.lit(None).cast("string")}
+    counts = {"checked": F.lit(0).cast("long"), "failures": F.lit(0).cast("long")}
+    columns = ["game_dir", "status", "encryption", "parameters", "checked", "failures"]
+    listed = books.select("game_key", "encryption", "parameters").unionByName(plain.select("game_key", "encryption", "parameters"))
+    seen = known(archives, plugins, books, plain).join(listed, "game_key", "left").withColumn("status", F.lit("known")).withColumns(counts).select(*columns)
+    rest = archives.join(seen.select("game_dir"), "game_dir", "left_anti")
+    flags = relations.scan(rest.select("archive", F.lit("xp3").alias("format"), "content")).groupBy("archive").agg(F.bool_or("encrypted").alias("flagged"))
+    dirs = rest.select("game_dir", "archive").join(flags, "archive").groupBy("game_dir").agg(F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("flagged"))
+    bare = rest.join(dirs.where("not flagged").select("game_dir"), "game_dir", "left_semi")
+    checks = verification_checks(bare, None).join(bare.select("game_dir", "archive"), "archive").withColumn("bad", ~F.col("ok"))
+    tally = early_exit(checks, ["game_dir"], ["archive", "place"], "bad", enough)
+    tally = dirs.where("not flagged").select("game_dir").join(tally, "game_dir", "left").fillna({"checked": 0, "failures": 0, "confirmed": False})
+    unflagged = tally.withColumn("status", F.when(F.col("confirmed"), "unencrypted").when(F.col("failures") == 0, "inconclusive")).withColumns(blank)
+    done = unflagged.where("status is not null").select(*columns)
+    open_ = rest.join(done.select("game_dir"), "game_dir", "left_anti")
+    guesses = by_probe(open_, force=True).join(open_.select("game_dir", "archive"), "archive").select("game_dir", "encryption", "parameters").distinct()
+    tries = open_.where(~paths.is_patch(F.col("archive"))).join(guesses, "game_dir")
+    tagged = tries.withColumn("archive", F.to_json(F.struct("archive", "encryption", "parameters")))
+    results = scheme_checks(tagged).join(tagged.select("archive", "game_dir", "encryption", "parameters"), "archive")
+    best = verdict(results, ["game_dir", "encryption", "parameters"], enough).where("confirmed")
+    best = best.groupBy("game_dir").agg(F.max(F.struct("checked", "encryption", "parameters", "failures")).alias("b")).select("game_dir", "b.*")
+    confirmed = best.withColumn("status", F.lit("confirmed")).select(*columns)
+    failed = open_.select("game_dir").distinct().join(confirmed.select("game_dir"), "game_dir", "left_anti")
+    failed = failed.withColumn("status", F.lit("failed")).withColumns(blank).withColumns(counts).select(*columns)
+    return seen.unionByName(done).unionByName(confirmed).unionByName(failed)
+
+
 # --- what observed keys and byte maps say about an unknown scheme ------------------------
 
 
