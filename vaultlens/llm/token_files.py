@@ -38,7 +38,7 @@ BLOCK = 4096
 #: Ids after which a shard is closed at the next document.
 SHARD_IDS = 1 << 18
 #: Bytes of text that a worker encodes at once; a longer text is encoded alone, whole.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Rows up to which the shards' starts, 24 bytes each, are broadcast rather than joined by a shuffle.
 MOST_STARTS = 500_000
 SHARD = "part int, first_seq int, bits int, n_docs int, n_ids long, doc_ids array<bigint>, doc_ends binary, block_offsets binary, ids binary"
@@ -97,7 +97,7 @@ class WordEncoder:
     strings, which are found before all that, and stay as they are.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
