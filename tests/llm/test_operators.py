@@ -32,7 +32,8 @@ def collected(df, *columns):
 # 1 suffix dedup
 
 
-def test_suffix_dedup(docs, rows):
+@pytest.mark.parametrize("anchor_bytes", [suffix_dedup.ANCHOR_BYTES, 0, 1500])
+def test_suffix_dedup(docs, rows, anchor_bytes):
     texts = [(t or "").encode() for _, t, _ in rows]
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     expected = Counter()
@@ -43,7 +44,7 @@ def test_suffix_dedup(docs, rows):
                 gone[k : k + 200] = True
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
         expected[(i, len(t), int(gone.sum()), int(np.count_nonzero(gone[:-1] & ~np.append(False, gone[:-2]))) if len(t) else 0, hashlib.sha256(kept).hexdigest())] += 1
-    assert collected(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+    assert collected(suffix_dedup.remove_repeats(docs, anchor_bytes), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
 def test_suffix_dedup_empty(none):
@@ -329,6 +330,20 @@ def test_chat_template_that_rewrites_history():
     assert not plain[2] and [plain[0][s.text_start : s.text_end] for s in plain[1]] == ["x", "xx"]
 
 
+@pytest.mark.parametrize("template", [
+    chat.marked, lambda turns: "".join(f"{k}:{r}={t};" for k, (r, t) in enumerate(turns)), lambda turns: f"{len(turns)} " + chat.marked(turns),
+    lambda turns: "<s>" + "".join(f"[{r if not k or turns[k - 1][0] != r else '..'}]{t}\n" for k, (r, t) in enumerate(turns)),
+])
+def test_long_conversations_are_rendered_in_chunks(template, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 7)
+    turns = [("user" if k % 3 else "assistant", f"turn {k}" * (k % 4)) for k in range(40)]
+    calls = []
+    counted = lambda t: calls.append(len(t)) or template(t)
+    assert chat.render(turns, counted) == chat.walk(turns, template)
+    if template is chat.marked:
+        assert sum(calls) < 2 * sum(range(41)) // 2
+
+
 @pytest.mark.parametrize("text", ["", "<|", "<\\|", "<<||>", "<\\\\|x", "<", "|", "a<|im_end|>\n"])
 def test_escape(text):
     assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)

@@ -45,6 +45,8 @@ DEPTH = LENGTH // UNIT
 #: Bytes of fragments that a task merges at once and that a shard has; an anchor's fragments stay together.
 GROUP_BYTES = 1_000_000
 SHARD_BYTES = 250_000
+#: Bytes of an anchor's distinct fragments up to which one task merges them.
+ANCHOR_BYTES = 4_000_000
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,6 +178,29 @@ def occurrences(keyed: DataFrame) -> DataFrame:
     return keyed.select("row", "text").mapInArrow(run, OCCURRENCE)
 
 
+def repeated_by_hash(contents: DataFrame) -> DataFrame:
+    """SPAN: the repeats among contents (row, start, n, content) of frequent anchors, for those with n = 1, window by window."""
+    schema = "row long, start long, n long, window long"
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, off in common.chunks(b.column("content"), 1 << 19):
+                prefix, windows = common.prefix_hash(data), np.diff(off) - LENGTH + 1
+                which = np.repeat(np.arange(j - i), windows)
+                place = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+                at = off[which] + place
+                part = b.slice(i, j - i)
+                row, start, n = (part.column(c).to_numpy()[which] for c in ("row", "start", "n"))
+                yield batch(out, row, start + place, n, common.substring_hash(prefix, at, at + LENGTH).astype(np.int64))
+
+    windows = contents.select("row", "start", "n", "content").mapInArrow(run, schema)
+    windows = stored(windows, "windows")
+    twice = stored(windows.groupBy("window").agg(F.count("*").alias("places")).where("places > 1").select("window"), "frequent-windows")
+    hit = windows.where("n = 1").join(twice, "window")
+    return hit.select("row", "start", (F.col("start") + LENGTH).alias("end"))
+
+
 def merge_fragments(contents: DataFrame) -> DataFrame:
     """SPAN: the repeats among contents (anchor, row, start, n, content), for those with n = 1."""
     out = arrow_schema(SPAN)
@@ -253,31 +278,39 @@ def remove(spanned: DataFrame) -> DataFrame:
     return spanned.mapInArrow(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """RESULT for every row of docs (doc_id, text)."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = stored(occurrences(keyed), "fragments")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # stored, so that the joins below shuffle both sides, which Spark splits where an anchor is frequent
+    often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "frequent-anchors")
     found = stored(found.join(often, "anchor"), "repeated-anchors")
     prints = stored(found.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "windows")).alias("at")), "prints")
     whole = found.join(prints.where("n > 1").select("anchor", "print"), ["anchor", "print"])
     whole = whole.select("row", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))
-    several = prints.groupBy("anchor").agg(F.count("*").alias("prints")).where("prints > 1").select("anchor")
-    wanted = prints.join(several, "anchor").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("anchor", "n", "at.start", "at.windows")).alias("wanted"))
-    schema = "anchor long, row long, start long, n long, content binary"
+    size = F.sum(F.col("at.windows") + (LENGTH - 1))
+    several = prints.groupBy("anchor").agg(F.count("*").alias("prints"), (size > anchor_bytes).alias("large")).where("prints > 1").select("anchor", "large")
+    several = stored(several, "varied-anchors")
+    wanted = prints.join(several, "anchor").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("anchor", "large", "n", "at.start", "at.windows")).alias("wanted"))
+    schema = "anchor long, large boolean, row long, start long, n long, content binary"
     out = arrow_schema(schema)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = common.text_buffers(b.column("text"))
             raw = data.tobytes()
-            rows = [(w["anchor"], row, w["start"], w["n"], raw[(i := int(off[k]) + w["start"]) : i + w["windows"] + LENGTH - 1])
+            rows = [(w["anchor"], w["large"], row, w["start"], w["n"], raw[(i := int(off[k]) + w["start"]) : i + w["windows"] + LENGTH - 1])
                     for k, (row, wanted) in enumerate(zip(b.column("row").to_pylist(), b.column("wanted").to_pylist(), strict=True)) for w in wanted]
             if rows:
                 yield batch(out, *zip(*rows, strict=True))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     contents = keyed.join(wanted, "row").select("row", "doc_id", "text", "wanted").mapInArrow(take, schema)
-    edges = merge_fragments(contents.repartition(n, "anchor").sortWithinPartitions("anchor"))
+    if several.where("large").isEmpty():
+        edges = merge_fragments(contents.drop("large").repartition(n, "anchor").sortWithinPartitions("anchor"))
+    else:
+        contents = stored(contents, "fragment-texts")
+        edges = merge_fragments(contents.where("not large").drop("large").repartition(n, "anchor").sortWithinPartitions("anchor"))
+        edges = edges.unionByName(repeated_by_hash(contents.where("large")))
     spans = whole.unionByName(edges).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return remove(keyed.join(spans, "row", "left").select("row", "doc_id", "text", "spans"))
