@@ -15,7 +15,9 @@ members then are one component are done.  What is left is compared across
 components, without a cap, but for pairs that can't be linked since too many
 shingles of one are nobody else's.  Links are confirmed on the full sets, taken from
 whole texts.  A hub's members are dealt out in salted groups, each with a copy
-of the hub's text.
+of the hub's text.  Counts and choices made for buckets and hubs are stored
+before they are joined back, so that both sides of each such join are plain
+shuffles, which Spark splits where a key is skewed.
 
 Defined cases: null, empty and blank texts have the empty set and are linked
 with nothing; repeated rows with one doc_id count as one document; a null
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, stored
+from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, discard, stored
 
 SHINGLE = 5
 BINS = 128
@@ -44,7 +46,7 @@ PERCENT = 75
 #: Parts, by hash, in which a set's shingles are counted to bound intersections.
 PARTS = 32
 #: Members that share a task with one copy of their hub's text.
-GROUP = 500
+GROUP = 200
 STEP = [np.uint64(pow(0x9FB21C651E98DF25, k + 1, 1 << 64)) for k in range(SHINGLE)]
 
 STEP_ARRAY = np.array(STEP, np.uint64)
@@ -139,10 +141,12 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     popularity adds up the sizes of the node's buckets.
     """
     in_bucket = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    sizes = in_bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = stored(in_bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
     members = stored(in_bucket.join(sizes, "key"), "buckets")
     popularity = members.groupBy("node").agg(F.sum("size").alias("popularity"))
-    return stored(members.drop("size").join(popularity, "node"), "members")
+    out = stored(members.drop("size").join(popularity, "node"), "members")
+    discard(sizes, members)
+    return out
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -150,6 +154,7 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     by = lambda *c: F.max(F.struct(*c, "node", "n_shingles"))
     hubs = members.groupBy("key").agg(by("popularity").alias("a"), by("popularity", F.xxhash64("node").alias("h")).alias("b"), F.min(F.struct("node", "n_shingles")).alias("c"))
     hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(x)["node"].alias("hub"), F.col(x)["n_shingles"].alias("hub_n")) for x in "abc")))).alias("h")).select("key", "h.*")
+    hubs = stored(hubs, "hubs")
     return alike_in_size(members.join(hubs, "key").where("node != hub"), "n_shingles", "hub_n").select("hub", "node").distinct()
 
 
@@ -161,7 +166,7 @@ def alike_in_size(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (hub, node) that are linked, on the full sets of texts (node, text)."""
     groups = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-    groups = groups.withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
+    groups = stored(groups.withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int")), "hub-groups")
     nodes = pairs.join(groups, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     rows = nodes.join(texts, "node").select("hub", "salt", F.lit(1).alias("kind"), "node", "text")
     hubs = groups.withColumnRenamed("hub", "node").join(texts, "node").select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "text")
@@ -201,7 +206,9 @@ def components(links: DataFrame) -> DataFrame:
         far = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
         new = labels.join(far, "component", "left").join(near, "node", "left")
         new = stored(new.select("node", F.col("component").alias("was"), F.least("component", "far", "near").alias("component")), "labels")
+        discard(labels)
         if new.where("was != component").isEmpty():
+            discard(both)
             return new.drop("was")
         labels = new.drop("was")
 
@@ -254,6 +261,7 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     found = components(links)
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    split = stored(split, "split-buckets")
     left = placed.join(split, "key").select("key", "node", "n_shingles", "component").join(classes.select("node", "parts"), "node")
     left = stored(left, "unresolved")
     alone = own_shingles(texts.join(left.select("node").distinct(), "node", "left_semi"))
@@ -261,7 +269,10 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     known = tried.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
     pairs = stored(pairs.join(known, ["hub", "node"], "left_anti"), "cross-pairs")
     more = stored(confirm(pairs, texts), "cross-links")
-    return found if more.isEmpty() else components(links.unionByName(more))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    discard(members, texts, tried, links, split, left, pairs, more)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
