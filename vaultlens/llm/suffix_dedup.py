@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import arrow_schema, batch, stored
+from vaultlens.llm.common import arrow_schema, batch, discard, stored
 
 LENGTH = 200
 ANCHOR = 64
@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, anchor_bytes: int = ANCHOR_BYTES) -> DataFra
     found = stored(occurrences(keyed), "fragments")
     # stored, so that the joins below shuffle both sides, which Spark splits where an anchor is frequent
     often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "frequent-anchors")
-    found = stored(found.join(often, "anchor"), "repeated-anchors")
+    every, found = found, stored(found.join(often, "anchor"), "repeated-anchors")
+    discard(every, often)
     prints = stored(found.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "windows")).alias("at")), "prints")
     whole = found.join(prints.where("n > 1").select("anchor", "print"), ["anchor", "print"])
     whole = whole.select("row", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))

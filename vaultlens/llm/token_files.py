@@ -223,9 +223,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
 def read_shards(spark, path: str) -> DataFrame:
     """The shards with ``start``, the ids of all shards before each."""
     shards = spark.read.schema(spark_type(SHARD)).parquet(path)
-    order = Window.orderBy("part", "first_seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "first_seq", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    starts = starts.drop("n_ids")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = shards.select("part", "first_seq", "n_ids")
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("part_start"))
+    starts = sizes.select("part", "first_seq", before(Window.partitionBy("part").orderBy("first_seq")).alias("start")).join(parts, "part")
+    starts = starts.select("part", "first_seq", (F.col("start") + F.col("part_start")).alias("start"))
     return shards.join(F.broadcast(starts) if starts.count() <= MOST_STARTS else starts, ["part", "first_seq"])
 
 
