@@ -82,6 +82,14 @@ def test_ancestors_and_overlaps(spark):
         assert sorted(map(tuple, rel.overlaps(ask, parts, bucket).collect())) == [(7, 0, 8, 10), (7, 2, 0, 18), (9, 2, 24, 25)]
 
 
+def test_running_total(spark, monkeypatch):
+    df = spark.createDataFrame([(k, k % 7) for k in (5, 1, 900, 17, 18, 4000, 2)], "key long, size long")
+    expected = {k: sum(x % 7 for x in (1, 2, 5, 17, 18, 900, 4000) if x < k) for k in (1, 2, 5, 17, 18, 900, 4000)}
+    assert {r.key: r.start for r in rel.running_total(df, "key", "size", 3).collect()} == expected
+    monkeypatch.setattr(rel, "WINDOW_GROUPS", 2)
+    assert {r.key: r.start for r in rel.running_total(df, "key", "size", 3).collect()} == expected
+
+
 def test_early_exit(spark):
     data = [("a", k, False) for k in range(5)] + [("b", 0, True), ("b", 1, False)] + [("c", k, k == 1) for k in range(4)]
     df = spark.createDataFrame(data, "g string, k int, bad boolean")

@@ -60,6 +60,30 @@ def running_offset(df: DataFrame, group: Sequence[str], order: Sequence[str], si
     return df.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)) + base)
 
 
+#: Groups up to which one window adds up their totals.
+WINDOW_GROUPS = 1_000_000
+
+
+def running_total(df: DataFrame, key: str, size: str, span: int = 4096) -> DataFrame:
+    """``start``: the sizes of all rows with a smaller whole-number key, without one task for all rows.
+
+    Rows are summed within ranges of ``span`` keys; the ranges' totals are
+    added up the same way until few enough are left for one window.
+    """
+    cell = F.floor(F.col(key) / span).alias("_cell")
+    sums = df.groupBy(cell).agg(F.sum(size).alias("_sum"))
+    if sums.limit(WINDOW_GROUPS + 1).count() <= WINDOW_GROUPS:
+        order = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(order), F.lit(0)))
+    else:
+        before = running_total(sums.withColumnRenamed("_cell", "_key"), "_key", "_sum", span)
+        before = before.select(F.col("_key").alias("_cell"), F.col("start").alias("_before"))
+    within = Window.partitionBy("_cell").orderBy(key).rangeBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_cell", cell).withColumn("_within", F.coalesce(F.sum(size).over(within), F.lit(0)))
+    out = out.join(before.select("_cell", "_before"), "_cell")
+    return out.withColumn("start", F.col("_within") + F.col("_before")).drop("_cell", "_within", "_before")
+
+
 def without_ancestors(df: DataFrame, path: str) -> DataFrame:
     """Distinct paths that are no proper ancestor of another: every path's ancestors are an equi anti-join."""
     paths = df.select(path).distinct()

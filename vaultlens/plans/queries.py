@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -309,8 +309,7 @@ FROM r JOIN d ON start < offset_ + size AND "end" > offset_ WHERE size > 0"""
 )
 def interval_read(spark, sf_dir):
     """Each request spans the second half of one part and what follows, over parts laid end to end."""
-    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    parts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("part"), "n_chars", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("start"), "doc_id")
+    parts = rel.running_total(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("part"), "n_chars"), "part", "n_chars")
     parts = parts.withColumn("end", F.col("start") + F.col("n_chars"))
     requests = parts.select(F.col("part").alias("request"), (F.col("start") + F.expr("n_chars div 2")).alias("offset"), F.col("n_chars").alias("size"))
     return rel.overlaps(requests, parts.select("part", "start", "end"), 4096)
