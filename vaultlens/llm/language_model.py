@@ -38,7 +38,7 @@ BLOCK_BYTES = 8 << 20
 #: Entries that a group adds up at once.
 GROUP_ENTRIES = 1_500_000
 END = np.uint64(0x5851F42D4C957F2D)
-BLOCK = "block long, doc_ids array<bigint>, held binary, ends binary, codes binary, vocabulary binary, n_words long, n_bigrams long, train_tokens long"
+BLOCK = "block long, doc_ids array<bigint>, held binary, ends binary, codes binary, vocabulary binary, n_words long, n_tokens long, train_tokens long"
 ASKED = "block long, part int, hashes binary, counts binary"
 ANSWER = "block long, part int, totals binary, n_distinct long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -91,10 +91,9 @@ def make_blocks(docs: DataFrame, path: str, of: int, is_: int) -> DataFrame:
         rank[order] = np.arange(len(order))
         vocabulary, code = vocabulary[order], rank[code]
         held = np.array([held_out(i, of, is_) for i in ids])
-        n_bigrams = len(np.unique(bigram_keys(code, ends, int(rank[np.searchsorted(vocabulary[rank], END)]), len(vocabulary))))
         length = np.diff(ends, prepend=0)
         return batch(out, [part << 32 | seq], [ids], [held.tobytes()], [ends.astype("<u4").tobytes()], [planes(code)], [vocabulary.tobytes()],
-                     [len(vocabulary)], [n_bigrams], [int(length[~held].sum())])
+                     [len(vocabulary)], [len(code)], [int(length[~held].sum())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -119,7 +118,9 @@ def make_blocks(docs: DataFrame, path: str, of: int, is_: int) -> DataFrame:
     made = docs.select("doc_id", "text").mapInArrow(run, spark_type(BLOCK))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made.write.option("path", path).option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
-    return spark.table(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and blocks knows their buckets
+    return blocks
 
 
 class Local:
@@ -136,7 +137,10 @@ class Local:
         train = np.repeat(~self.held, np.diff(self.ends, prepend=0))
         bigrams = np.unique(self.keys)
         words = np.bincount(self.codes[train], minlength=len(self.vocabulary))
-        return words, bigrams, np.bincount(np.searchsorted(bigrams, self.keys[train]), minlength=len(bigrams))
+        seen, n = np.unique(self.keys[train], return_counts=True)
+        counts = np.zeros(len(bigrams), np.int64)
+        counts[np.searchsorted(bigrams, seen)] = n
+        return words, bigrams, counts
 
     def bigram_hashes(self, bigrams: np.ndarray) -> np.ndarray:
         h, w = np.divmod(bigrams, len(self.vocabulary))
@@ -208,7 +212,7 @@ def answer(asked: DataFrame, word_groups: int) -> DataFrame:
 class Automaton:
     """States are codes of words; the root is left by failing from a state without the arc."""
 
-    LANES = 512
+    LANES = 4096
 
     def __init__(self, arcs: np.ndarray, weights: np.ndarray, fail: np.ndarray, root: np.ndarray):
         self.arcs, self.weights, self.fail, self.root = arcs, weights, fail, root
@@ -270,7 +274,7 @@ def score(docs: DataFrame, of: int = 7, is_: int = 2, mu: float = 100.0) -> Data
     """SCORED for every row of docs (doc_id, text); rows with crc32(doc_id) mod ``of`` = ``is_`` aren't learnt from."""
     spark = docs.sparkSession
     blocks = make_blocks(docs, scratch(spark, "model-blocks"), of, is_)
-    size = blocks.agg(F.sum("n_words"), F.sum("n_bigrams"), F.sum("train_tokens")).first()
+    size = blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("train_tokens")).first()
     word_groups, bigram_groups = (max(1, -(-(size[k] or 0) // GROUP_ENTRIES)) for k in (0, 1))
     n_train = size[2] or 0
     answers = stored(answer(ask(blocks, word_groups, bigram_groups), word_groups), "model-answers")
@@ -286,4 +290,4 @@ def score(docs: DataFrame, of: int = 7, is_: int = 2, mu: float = 100.0) -> Data
                 held, n_tokens, n_known, base, full = score_block(row, got, n_train, n_distinct, word_groups, bigram_groups, mu)
                 yield batch(out, row["doc_ids"], held, n_tokens, n_known, np.full(len(held), n_train), base, full)
 
-    return blocks.drop("n_words", "n_bigrams", "train_tokens").join(by_block, "block").mapInArrow(run, SCORED)
+    return blocks.drop("n_words", "n_tokens", "train_tokens").join(by_block, "block").mapInArrow(run, SCORED)
