@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vaultlens.codecs import ciphers, gale, lz, png, prng, program, tlg
+from vaultlens.codecs import ciphers, gale, jpeg, lz, png, prng, program, tlg
 from vaultlens.codecs.errors import MalformedError
 from vaultlens.functions.dos_time import dos_decode, dos_encode
 
@@ -185,7 +185,7 @@ def test_layer_images():
     assert gale.decode(shuffled, 99) == gale.decode(gale.encode(2, 5, 24, tall))
     with pytest.raises(gale.UnsupportedError):
         gale.decode(shuffled)
-    with pytest.raises(gale.UnsupportedError):
+    with pytest.raises(MalformedError):
         gale.decode(gale.encode(2, 2, 24, rows, compression=2))
     assert gale.decode(gale.encode(1, 1, 24, b"jpg", compression=2), jpeg=lambda d: (3, b"\1\2\3"))[3] == b"\3\2\1"
     for bad in (b"Gale", b"Gale1x5" + bytes(60), b"Gale105" + (9).to_bytes(4, "little") + bytes(60)):
@@ -214,6 +214,41 @@ def test_xml_layer_image():
     assert gale.xml_palette("0102030405", 4)[:2] == [(1, 2, 3), (0, 0, 0)]
 
 
+def jvm_jpeg(spark, image, grey=False):
+    """A picture as JPEG, and what the JVM decodes it to."""
+    jvm = spark.sparkContext._jvm
+    h, w = image.shape[:2]
+    kind = jvm.java.awt.image.BufferedImage
+    picture = kind(w, h, kind.TYPE_BYTE_GRAY if grey else kind.TYPE_INT_RGB)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = (int(v) for v in image[y, x])
+            picture.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(picture, "jpg", out)
+    raw = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(raw))
+    seen = np.array([[[v >> 16 & 255, v >> 8 & 255, v & 255] for v in (back.getRGB(x, y) for x in range(w))] for y in range(h)])
+    return raw, seen
+
+
+@pytest.mark.parametrize(("w", "h"), [(8, 8), (37, 21), (16, 40)])
+def test_jpeg(spark, w, h):
+    y, x = np.mgrid[:h, :w]
+    image = np.stack([x * 255 // w, y * 255 // h, 255 - x * 255 // w], 2)
+    raw, seen = jvm_jpeg(spark, image)
+    width, height, channels, samples = jpeg.decode(raw)
+    got = np.frombuffer(samples, np.uint8).reshape(h, w, 3).astype(int)
+    assert (width, height, channels) == (w, h, 3) and np.abs(got - seen).mean() < 4 and np.abs(got - image).mean() < 8
+    bgr = gale.decode(gale.encode(w, h, 24, raw, compression=2))
+    assert bgr[:3] == (w, h, "RGB") and np.array_equal(np.frombuffer(bgr[3], np.uint8), got.ravel())
+    raw, seen = jvm_jpeg(spark, np.repeat(image[:, :, :1], 3, 2), grey=True)
+    assert jpeg.decode(raw)[2] == 1
+    for bad in (b"", raw[:40], raw[: len(raw) // 2], raw.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(MalformedError):
+            jpeg.decode(bad)
+
+
 def test_png():
     assert png.decode(png.encode(2, 2, "RGBA", bytes(range(16)))) == (2, 2, "RGBA", bytes(range(16)))
     assert png.decode(png.encode(1, 2, "RGB", b"abcdef")) == (1, 2, "RGB", b"abcdef")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultlens import cli
-from vaultlens.codecs import gale, png, tlg
+from vaultlens.codecs import png, tlg
 from vaultlens.formats import arc, det, gsp, vf, xp3
 from vaultlens.formats.model import Member
 from vaultlens.operators import archives, detect, surveys

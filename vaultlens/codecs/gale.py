@@ -1,8 +1,8 @@
 """The layer-based image codec: a binary header (versions 103 to 107) or a packed XML one.
 
 decode() gives (width, height, "RGB" or "RGBA", bytes) of the first frame's
-first layer.  JPEG planes need a decoder that is handed in, since none is at
-hand in Python here.
+first layer.  JPEG planes are decoded by codecs.jpeg unless another decoder is
+handed in.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import numpy as np
 
 from vaultlens.codecs.errors import MalformedError
+from vaultlens.codecs.jpeg import decode_bgr
 from vaultlens.codecs.prng import permutation
 
 PREFIX, XML_PREFIX = b"Gale", b"GaleX200"
@@ -184,7 +185,7 @@ def read_plane(source: bytes, frame: Frame, alpha: bool, header: Header, key: in
     return plane.tobytes()
 
 
-def read_layer(payload: bytes, frame: Frame, alpha: bool, header: Header, key: int, jpeg: JpegDecoder | None) -> bytes:
+def read_layer(payload: bytes, frame: Frame, alpha: bool, header: Header, key: int, jpeg: JpegDecoder) -> bytes:
     if header.compression == RAW:
         return read_plane(payload, frame, alpha, header, key)
     if header.compression == ZLIB or alpha:
@@ -192,14 +193,12 @@ def read_layer(payload: bytes, frame: Frame, alpha: bool, header: Header, key: i
             return read_plane(zlib.decompress(payload), frame, alpha, header, key)
         except zlib.error as e:
             raise MalformedError(str(e)) from None
-    if jpeg is None:
-        raise UnsupportedError("JPEG planes need a decoder")
     channels, pixels = jpeg(payload)
     frame.depth, frame.stride = 8 * channels, frame.width * channels
     return pixels
 
 
-def binary_frame(data: bytes, header: Header, key: int, jpeg: JpegDecoder | None) -> Frame:
+def binary_frame(data: bytes, header: Header, key: int, jpeg: JpegDecoder) -> Frame:
     r = Reader(data, header.data_offset)
     r.bytes(r.int("<I"))  # name
     r.bytes(13)  # mask, reserved
@@ -222,7 +221,7 @@ def binary_frame(data: bytes, header: Header, key: int, jpeg: JpegDecoder | None
     return frame
 
 
-def xml_frame(data: bytes, header: Header, root: ElementTree.Element, key: int, jpeg: JpegDecoder | None) -> Frame:
+def xml_frame(data: bytes, header: Header, root: ElementTree.Element, key: int, jpeg: JpegDecoder) -> Frame:
     node = root.find("Frame/Layers")
     if node is None:
         raise MalformedError("no layers in the header")
@@ -269,7 +268,7 @@ def flatten(frame: Frame) -> tuple[int, int, str, bytes]:
     return w, h, "RGBA", np.concatenate([rgb, alpha], 2).tobytes()
 
 
-def decode(data: bytes, key: int = 0, jpeg: JpegDecoder | None = None) -> tuple[int, int, str, bytes]:
+def decode(data: bytes, key: int = 0, jpeg: JpegDecoder = decode_bgr) -> tuple[int, int, str, bytes]:
     packed = data[:8] == XML_PREFIX
     header, root = xml_header(data) if packed else (binary_header(data), None)
     if header.shuffled and not key:

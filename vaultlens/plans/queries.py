@@ -486,7 +486,7 @@ def _images(name: str, encode: Callable[[bytes], bytes]) -> None:
         def draw(v: pd.Series) -> pd.Series:
             def one(x):
                 picture = np.zeros((4, 8, 4), np.uint8)
-                red = (np.floor(np.abs(np.asarray(x[:32], np.float32).astype(np.float64) * 1.0) * 1000).astype(np.int64) % 256).astype(np.uint8)
+                red = (np.floor(np.abs(np.asarray(x[:32], np.float64)) * 1000).astype(np.int64) % 256).astype(np.uint8)
                 picture[:, :, 0] = np.resize(np.pad(red, (0, 32 - len(red))), (4, 8))
                 picture[:, :, 3] = 255
                 return encode(picture.tobytes())
