@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultlens import cli
-from vaultlens.codecs import png, tlg
+from vaultlens.codecs import pe, png, tlg
 from vaultlens.formats import arc, det, gsp, vf, xp3
 from vaultlens.formats.model import Member
 from vaultlens.operators import archives, detect, surveys
@@ -141,6 +141,18 @@ def test_game_surveys(spark):
     assert (first.fingerprint, first.folders, first.programs) == ("ProductName='E'", 2, ["a.exe", "b.exe"])
 
 
+def test_program_versions(spark):
+    made = {"ProductName": "Éngine", "FileVersion": "1.2", "Odd": ""}
+    exe = b"MZ" + bytes(77) + pe.version_resource(made) + bytes(9)
+    assert pe.version_strings(exe) == made
+    assert pe.version_strings(b"MZ nothing") == pe.version_strings(exe[2:]) == pe.version_strings(exe[:120]) == {}
+    rows = [("g/a.exe", exe), ("g/b.dll", exe), ("g/c.exe", b"MZ"), ("h/d.EXE", exe)]
+    files_ = spark.createDataFrame([(p, bytearray(d)) for p, d in rows], "path string, content binary")
+    assert {(r.name, r.versions is None) for r in surveys.program_versions(files_).collect()} == {("a.exe", False), ("c.exe", True), ("d.EXE", False)}
+    group = surveys.engine_groups(surveys.program_versions(files_, True)).first()
+    assert (group.fingerprint, group.folders, group.n) == ("ProductName='Éngine', FileVersion='1.2'", 2, 3)
+
+
 def test_zip_files(spark):
     def pack(names):
         out = io.BytesIO()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vaultlens.codecs import tlg
 from vaultlens.codecs.errors import MalformedError
+from vaultlens.codecs.pe import version_strings
 from vaultlens.functions import paths
 from vaultlens.functions.bytes import content_sha256
 from vaultlens.operators.relational import first_n_per_group, first_per_key, most_common, without_ancestors
@@ -264,6 +265,19 @@ def game_folders(files: DataFrame) -> DataFrame:
     return without_ancestors(programs.select(paths.folder(F.col("path")).alias("game_dir")), "game_dir")
 
 
+def program_versions(files: DataFrame, libraries: bool = False) -> DataFrame:
+    """game_dir, name, versions (map, null if there are none) of programs: files (path, content)."""
+    kinds = (".exe", ".dll", ".scr") if libraries else (".exe",)
+    path = F.col("path")
+
+    @F.udf("map<string,string>")
+    def strings(content):
+        return version_strings(bytes(content)) or None
+
+    found = files.where(paths.extension(path).isin(*kinds))
+    return found.select(paths.folder(path).alias("game_dir"), paths.base_name(path).alias("name"), strings("content").alias("versions"))
+
+
 def version_fingerprint(versions: Column) -> Column:
     """The non-empty fields of a map of version strings, trimmed, in order."""
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.trim(F.try_element_at(versions, F.lit(f))).alias("value")) for f in VERSION_FIELDS))
@@ -276,7 +290,7 @@ def fingerprint_text(fingerprint: Column) -> Column:
 
 def engine_groups(programs: DataFrame) -> DataFrame:
     """fingerprint, folders, programs, n: programs (game_dir, name, versions map), largest groups first."""
-    rows = programs.select("game_dir", "name", fingerprint_text(version_fingerprint(F.col("versions"))).alias("fingerprint"))
+    rows = programs.where("versions is not null").select("game_dir", "name", fingerprint_text(version_fingerprint(F.col("versions"))).alias("fingerprint"))
     out = rows.groupBy("fingerprint").agg(F.countDistinct("game_dir").alias("folders"), F.array_sort(F.collect_set("name")).alias("programs"), F.count("*").alias("n"))
     return out.orderBy(F.desc("folders"), "fingerprint")
 
