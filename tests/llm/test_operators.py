@@ -101,6 +101,17 @@ def test_texts_are_cut_where_tokens_begin():
         assert "".join(parts) == text and [i for p in parts for i in tok.encode(p).ids] == tok.encode(text).ids
 
 
+def test_words_behind_blanks_are_counted_as_in_whole_texts():
+    import pyarrow as pa
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(2)
+    tok, counter = Tokenizer.from_file(path), token_counts.BlankCounter(path)
+    signs = ["a", "b", "The", "über", "don't", "x1", "é", "!?", " ", " ", " ", " ", "  ", "\n", "\t", "\u3000", "\u00a0", "\x85", "\x1c", "\u200b", "<|endoftext|>", "ﷺ", "\u0301"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)] + [" ", "", " a", "a ", "a b", "w " * 50_000]
+    assert counter(pa.array(texts)).tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter(pa.array([], pa.string())).tolist() == []
+
+
 # 3 quality
 
 

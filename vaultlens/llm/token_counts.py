@@ -20,11 +20,14 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm.common import arrow_schema, batch
+from vaultlens.llm.token_files import WordEncoder
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -90,6 +93,56 @@ def batches_of(texts: list[str], limit: int = PIECE) -> Iterator[tuple[int, int]
         yield i, len(texts)
 
 
+#: White space other than blanks and line ends, as the library's patterns see it and a little more, and control signs.
+OTHER_BLANK = r"\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}"
+#: Texts with more than single blanks and line ends between words, or with the mark below, are encoded as they are.
+ODD = rf"[ \n][ \n]|^[ \n]|[ \n]$|^$|[{OTHER_BLANK}]"
+#: Put before a word that no blank leads.
+BARE = "\x02"
+
+
+class BlankCounter:
+    """Token counts of texts whose tokens begin at single blanks: each distinct word is encoded once.
+
+    A word's first token takes in the blank before it.  No token spans a line
+    end that stands alone, or goes from an ASCII letter to a sign, so texts are
+    cut there too; what follows has no blank before it.
+    """
+
+    def __init__(self, path: str):
+        self.led, self.bare, self.encode = WordEncoder(path, lead=" "), WordEncoder(path), load_tokenizer(path)
+        self.line = len(self.encode(["\n"])[0])
+
+    def whole(self, texts: list[str]) -> np.ndarray:
+        n = np.zeros(len(texts), np.int64)
+        parts = [(k, p) for k, t in enumerate(texts) for p in pieces(t)]
+        for i, j in batches_of([p for _, p in parts]):
+            for (k, _), ids in zip(parts[i:j], self.encode([p for _, p in parts[i:j]]), strict=True):
+                n[k] += len(ids)
+        return n
+
+    def cut(self, texts: pa.Array) -> np.ndarray:
+        mark, none = pa.scalar(BARE, pa.large_string()), pa.scalar("", pa.large_string())
+        marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, "\n", f" {BARE}"), none)
+        marked = pc.replace_substring_regex(marked, r"([A-Za-z])([.,!?;:$%&*#])", rf"\1 {BARE}\2")
+        split = pc.split_pattern(marked, " ")
+        words, row = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        bare = pc.starts_with(words, BARE)
+        out = self.line * pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False).astype(np.int64)
+        for encoder, chosen in ((self.led, pc.invert(bare)), (self.bare, bare)):
+            place = encoder.places(pc.replace_substring(words.filter(chosen), BARE, ""))
+            out += np.bincount(row[chosen.to_numpy(zero_copy_only=False)], encoder.length[place], len(texts)).astype(np.int64)
+        return out
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False).astype(bool)
+        out = np.zeros(len(texts), np.int64)
+        out[odd] = self.whole(texts.filter(pa.array(odd)).to_pylist())
+        out[~odd] = self.cut(texts.filter(pa.array(~odd)))
+        return out
+
+
 def normalised(text: Column) -> Column:
     """Content that the counts depend on: the text itself, null as empty, since case and blanks change tokens."""
     return F.coalesce(text, F.lit(""))
@@ -111,14 +164,15 @@ def encode_misses(texts: DataFrame, tokenizer_path: str, version: str) -> DataFr
     out = arrow_schema(CACHE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cut = load_tokenizer(tokenizer_path), cuts_at_blanks(tokenizer_path)
+        if cuts_at_blanks(tokenizer_path):
+            counter = BlankCounter(tokenizer_path)
+            for b in batches:
+                yield batch(out, b.column("content_digest"), [version] * b.num_rows, counter(b.column("content")))
+            return
+        encode = load_tokenizer(tokenizer_path)
         for b in batches:
             texts = b.column("content").to_pylist()
-            n = [0] * len(texts)
-            parts = [(k, p) for k, t in enumerate(texts) for p in (pieces(t) if cut else [t])]
-            for i, j in batches_of([p for _, p in parts]):
-                for (k, _), ids in zip(parts[i:j], encode([p for _, p in parts[i:j]]), strict=True):
-                    n[k] += len(ids)
+            n = [len(ids) for i, j in batches_of(texts) for ids in encode(texts[i:j])]
             yield batch(out, b.column("content_digest"), [version] * len(n), n)
 
     return texts.select("content_digest", "content").mapInArrow(count, CACHE)

@@ -97,17 +97,18 @@ class WordEncoder:
     strings, which are found before all that, and stay as they are.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, lead: str = ""):
+        """lead: what every word is encoded behind, a blank where that is part of the word's first token."""
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.most = most
+        self.most, self.lead = most, lead
         vocabulary = self.tok.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or begin one behind a blank
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if lead else t.endswith("</w>"))]] = True
         self.known: dict[str, int] = {}
         self.pool, self.length, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -118,15 +119,16 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words; those of letters alone are one word to the library too, so it gets many at once."""
-        plain = [w for w in words if w.isalpha()]
+        plain = [w for w in words if w.isalpha()] if self.edge.any() else []
         for i in range(0, len(plain), 4096):
             part = plain[i : i + 4096]
-            ids, _ = self.encode([" ".join(part[k : k + 64]) for k in range(0, len(part), 64)])
-            length = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
-            self.add(part, *((ids, length) if len(length) == len(part) and length.sum() == len(ids) else self.encode(part)))
-        other = [w for w in words if not w.isalpha()]
+            ids, _ = self.encode([self.lead + " ".join(part[k : k + 64]) for k in range(0, len(part), 64)])
+            edge = np.flatnonzero(self.edge[ids])
+            length = np.diff(edge, append=len(ids)) if self.lead else np.diff(edge, prepend=-1)
+            self.add(part, *((ids, length) if len(length) == len(part) and length.sum() == len(ids) else self.encode([self.lead + w for w in part])))
+        other = [w for w in words if not w.isalpha()] if plain else words
         for i in range(0, len(other), 4096):
-            self.add(other[i : i + 4096], *self.encode(other[i : i + 4096]))
+            self.add(other[i : i + 4096], *self.encode([self.lead + w for w in other[i : i + 4096]]))
 
     def add(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
@@ -156,9 +158,8 @@ class WordEncoder:
         words = pc.split_pattern(plain, " ")
         return words.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids before each text and at the end)."""
-        words, ends = self.split(texts)
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among the known ones, after learning the new."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
@@ -166,7 +167,12 @@ class WordEncoder:
         self.learn([w for w in distinct if w not in self.known])
         at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         self.used[at] += 1
-        at = at[coded.indices.to_numpy()]
+        return at[coded.indices.to_numpy()]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids before each text and at the end)."""
+        words, ends = self.split(texts)
+        at = self.places(words)
         start = np.concatenate([[0], np.cumsum(self.length)])[at]
         length = self.length[at]
         before = np.concatenate([[0], np.cumsum(length)])
