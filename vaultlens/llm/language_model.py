@@ -7,7 +7,7 @@ its failure arc, weighted log10(mu / (c(h) + mu)), leads to the root, which has
 an arc for every word.  A text is read once from left to right from the state
 of the end token; the state is carried on and the arcs' weights are added up.
 
-The model is never gathered in one place.  Texts become blocks of about 8 MB,
+The model is never gathered in one place.  Texts become blocks of about 6 MB,
 stored once with words as local codes.  A block sends the hash and count of
 each of its distinct words and bigrams to the group that the hash falls in;
 the group adds up all blocks' counts and answers each block with the totals of
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from vaultlens.llm import common
 from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, scratch, spark_type, stored
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Entries that a group adds up at once.
-GROUP_ENTRIES = 1_500_000
+GROUP_ENTRIES = 1_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK = "block long, doc_ids array<bigint>, held binary, ends binary, codes binary, vocabulary binary, n_words long, n_tokens long, train_tokens long"
 ASKED = "block long, part int, hashes binary, counts binary"
