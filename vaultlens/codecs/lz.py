@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
+
 from vaultlens.codecs.errors import MalformedError
 
 # --- marker LZ77: 0xFF starts a reference, FF FF is a literal FF -------------
@@ -42,25 +45,46 @@ def marker_store(data: bytes) -> bytes:
     return data.replace(b"\xff", b"\xff\xff")
 
 
+#: Places whose matches are looked for at once.
+SEARCHED = 8192
+
+
+def longest_matches(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(length, distance) of the longest match of 3 to 6 bytes at each place, the nearest of those; length 0 without one."""
+    n, edge = len(data), np.full(max(FARTHEST, LONGEST), -1, np.int16)
+    raw = np.concatenate([edge, np.frombuffer(data, np.uint8).astype(np.int16), edge])
+    best = np.zeros(n, np.int64)
+    for start in range(0, n, SEARCHED):
+        count = min(SEARCHED, n - start)
+        wide = count + LONGEST - 1
+        rows = sliding_window_view(raw[start + len(edge) - FARTHEST : start + len(edge) + wide], wide)
+        same = rows[:FARTHEST] == rows[FARTHEST]  # row r is what lies FARTHEST - r places back
+        same[:, max(0, n - start) :] = False
+        row, at = np.nonzero(same[:, :count] & same[:, 1 : count + 1] & same[:, 2 : count + 2])
+        size, on = np.full(len(at), SHORTEST), np.ones(len(at), bool)
+        for k in range(SHORTEST, LONGEST):
+            on &= same[row, at + k]
+            size += on
+        np.maximum.at(best, at + start, size * FARTHEST + row)
+    return best // FARTHEST, FARTHEST - best % FARTHEST
+
+
 def marker_encode(data: bytes) -> bytes:
     """Greedy: the longest match, the nearest of those; the code that would be the mark gives up one byte."""
-    out = bytearray()
-    pos, end = 0, len(data)
-    while pos < end:
-        low = max(0, pos - FARTHEST)
-        for length in range(min(LONGEST, end - pos), SHORTEST - 1, -1):
-            at = data.rfind(data[pos : pos + length], low, pos + length - 1)
-            if at >= 0:
-                code = (pos - at - 1) << 2 | (length - SHORTEST)
-                if code == MARK:
-                    code, length = code - 1, length - 1
-                out += bytes((MARK, code))
-                pos += length
-                break
-        else:
-            out += data[pos : pos + 1] if data[pos] != MARK else b"\xff\xff"
-            pos += 1
-    return bytes(out)
+    length, distance = longest_matches(data)
+    places = np.flatnonzero(length)
+    out, done = bytearray(), 0
+    for at, size, d in zip(places.tolist(), length[places].tolist(), distance[places].tolist(), strict=True):
+        if at < done:
+            continue
+        out += marker_store(data[done:at])
+        code = (d - 1) << 2 | (size - SHORTEST)
+        if code == MARK:
+            code, size = code - 1, size - 1
+        out.append(MARK)
+        out.append(code)
+        done = at + size
+    return bytes(out + marker_store(data[done:]))
 
 
 # --- LZSS with a 4 KiB ring, a set flag bit is a literal ---------------------
