@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm.common import arrow_schema, batch
-from vaultlens.llm.token_files import WordEncoder
+from vaultlens.llm.token_files import word_encoder
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -110,7 +110,7 @@ class BlankCounter:
     """
 
     def __init__(self, path: str):
-        self.led, self.bare, self.encode = WordEncoder(path, lead=" "), WordEncoder(path), load_tokenizer(path)
+        self.led, self.bare, self.encode = word_encoder(path, " "), word_encoder(path), load_tokenizer(path)
         self.line = len(self.encode(["\n"])[0])
 
     def whole(self, texts: list[str]) -> np.ndarray:

@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -180,6 +181,12 @@ class WordEncoder:
         return ids, before[ends]
 
 
+@lru_cache(maxsize=4)
+def word_encoder(path: str, lead: str = "") -> WordEncoder:
+    """The worker's encoder, which keeps its words from task to task."""
+    return WordEncoder(path, lead=lead)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int, files: int | None = None) -> None:
     """Encode the whole texts of docs (doc_id, text) and write shards in ascending doc_id order."""
     bits, out = bits_for(vocabulary), arrow_schema(SHARD)
@@ -189,7 +196,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         held, names, ends, n = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
