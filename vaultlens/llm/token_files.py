@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from vaultlens.llm.common import arrow_schema, batch, spark_type
 
 BLOCK = 4096
-#: Ids after which a shard is closed at the next document.
+#: Ids after which a shard is closed at the end of a slice.
 SHARD_IDS = 1 << 18
 #: Bytes of text that a worker encodes at once; a longer text is encoded alone, whole.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Rows up to which the shards' starts, 24 bytes each, are broadcast rather than joined by a shuffle.
 MOST_STARTS = 500_000
 SHARD = "part int, first_seq int, bits int, n_docs int, n_ids long, doc_ids array<bigint>, doc_ends binary, block_offsets binary, ids binary"
@@ -181,6 +181,25 @@ class WordEncoder:
         return ids, before[ends]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(texts, doc_ids) of about SLICE bytes: small batches together, large ones in parts."""
+    texts, doc_ids, held = [], [], 0
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = held + np.cumsum(size)
+        cut = np.searchsorted(total, np.arange(1, total[-1] // SLICE + 1) * SLICE) + 1 if len(total) else []
+        edges = [0, *np.unique(np.minimum(cut, b.num_rows)).astype(int).tolist()]
+        for i, j in zip(edges, [*edges[1:], b.num_rows], strict=True):
+            texts.append(b.column("text").slice(i, j - i))
+            doc_ids.append(b.column("doc_id").slice(i, j - i))
+            if j in edges[1:] and j > i:
+                yield pa.concat_arrays(texts), pa.concat_arrays(doc_ids)
+                texts, doc_ids, held = [], [], 0
+        held += int(size[edges[-1] :].sum())
+    if sum(map(len, texts)):
+        yield pa.concat_arrays(texts), pa.concat_arrays(doc_ids)
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str, lead: str = "") -> WordEncoder:
     """The worker's encoder, which keeps its words from task to task."""
@@ -206,25 +225,19 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
             last = np.concatenate(ends).astype("<u8")
             return batch(out, [part], [seq], [bits], [len(last)], [len(ids)], ids_of, [last.tobytes()], [at.tobytes()], [raw])
 
-        for b in batches:
-            texts = b.column("text")
-            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            cut = np.searchsorted(np.cumsum(size), np.arange(1, size.sum() // SLICE + 1) * SLICE) + 1
-            for i, j in zip(edges := [0, *np.unique(cut[cut < b.num_rows]).tolist(), b.num_rows], edges[1:], strict=False):
-                if i == j:
-                    continue
-                ids, at = encoder(texts.slice(i, j - i))
-                ids = np.insert(ids, at[1:], end_id)
-                at = at[1:] + np.arange(1, j - i + 1)
-                pa.default_memory_pool().release_unused()
-                held.append(ids)
-                names.append(b.column("doc_id").slice(i, j - i))
-                ends.append(at + n)
-                n += len(ids)
-                if n >= SHARD_IDS:
-                    yield shard()
-                    seq, n = seq + 1, 0
-                    held, names, ends = [], [], []
+        for texts, doc_ids in slices(batches):
+            ids, at = encoder(texts)
+            ids = np.insert(ids, at[1:], end_id)
+            at = at[1:] + np.arange(1, len(texts) + 1)
+            pa.default_memory_pool().release_unused()
+            held.append(ids)
+            names.append(doc_ids)
+            ends.append(at + n)
+            n += len(ids)
+            if n >= SHARD_IDS:
+                yield shard()
+                seq, n = seq + 1, 0
+                held, names, ends = [], [], []
         if held:
             yield shard()
 
