@@ -70,6 +70,31 @@ def test_merged_transforms_find_all_repeats(shard):
         assert cover.tolist() == [int(i + 200 <= len(t)) for t in texts for i in range(len(t))]
 
 
+@pytest.mark.parametrize(("group_bytes", "rows_at_once"), [(500, 2), (500, 1), (3000, 3), (1_000_000, 4), (500, 1000)])
+def test_an_anchor_over_many_batches_is_merged_at_once(spark, monkeypatch, group_bytes, rows_at_once):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group_bytes)
+    rng, key = np.random.default_rng(11), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    some = lambda n: rng.integers(32, 127, n).astype(np.uint8).tobytes()
+    contents, expected, row = [], Counter(), 0
+    for anchor, n in enumerate([1, 9, 2, 1, 1, 14, 3, 1]):
+        shared = some(200)  # in the anchor's first and last fragment only
+        for k in range(n):
+            twice = n > 1 and k in (0, n - 1)
+            before = some(rng.integers(1, 90))
+            content = before + shared + some(5) if twice else some(rng.integers(200, 330))
+            contents.append((anchor, row, 7, 1, bytearray(content)))
+            if twice:
+                expected[(row, 7 + len(before), 7 + len(before) + 200)] += 1
+            row += 1
+    df = spark.createDataFrame(contents, "anchor long, row long, start long, n long, content binary").coalesce(1).sortWithinPartitions("anchor", "row")
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows_at_once))
+    try:
+        assert collected(suffix_dedup.merge_fragments(df), "row", "start", "end") == expected
+    finally:
+        spark.conf.set(key, old)
+
+
 # 2 token counts
 
 

@@ -218,26 +218,38 @@ def merge_fragments(contents: DataFrame) -> DataFrame:
         return batch(out, t.column("row").to_numpy()[f], base + first, base + last + LENGTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = [], 0  # of whole anchors
+        tail, more, open_ = [], 0, None  # of the last anchor, which may go on in the next batch
         for b in batches:
+            if not b.num_rows:
+                continue
             anchor = b.column("anchor").to_numpy()
             edges = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), b.num_rows]
             bytes_at = np.concatenate([[0], np.cumsum(common.text_buffers(b.column("content"))[1][1:])])
-            i = 0
-            for k, j in enumerate(edges[1:]):
-                last = k == len(edges) - 2
-                if not last and size + bytes_at[j] - bytes_at[i] >= GROUP_BYTES:  # the batch's last anchor may go on
+            begin, i = edges[-2], 0
+            if tail and (begin or anchor[0] != open_):  # the tail's anchor ends here, or in this batch's first run
+                if held and size + more >= GROUP_BYTES:
+                    yield merge(held)
+                    held, size = [], 0
+                held, size, tail, more = held + tail, size + more, [], 0
+                if anchor[0] != open_ and size >= GROUP_BYTES:
+                    yield merge(held)
+                    held, size = [], 0
+            for j in edges[1:-1]:
+                if size + bytes_at[j] - bytes_at[i] >= GROUP_BYTES:
                     yield merge([*held, b.slice(i, j - i)])
                     held, size, i = [], 0, j
-                elif last:
-                    begin = edges[k]
-                    if size + bytes_at[begin] - bytes_at[i] >= GROUP_BYTES:
-                        yield merge([*held, b.slice(i, begin - i)])
-                        held, size, i = [], 0, begin
-                    held.append(b.slice(i, j - i))
-                    size += bytes_at[j] - bytes_at[i]
-        if held:
+            if begin > i:
+                held.append(b.slice(i, begin - i))
+                size += bytes_at[begin] - bytes_at[i]
+            tail.append(b.slice(begin))
+            more += bytes_at[-1] - bytes_at[begin]
+            open_ = anchor[-1]
+        if held and size + more >= GROUP_BYTES:
             yield merge(held)
+            held = []
+        if held or tail:
+            yield merge(held + tail)
 
     return contents.mapInArrow(run, SPAN)
 
