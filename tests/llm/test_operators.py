@@ -244,6 +244,19 @@ def test_decontamination(spark, docs, rows, block_words):
     assert spans.where("n_hit != n").count() == 0 and spans.count() >= 3
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 20])
+def test_decontamination_keeps_every_row_at_any_benchmark_size(spark, docs, rows, block_words):
+    cut = next(t for i, t, _ in rows if i == 31).split()
+    items = [(k, " ".join(cut[3 * k : 3 * k + 14])) for k in range(8)] + [(8, "one two"), (None, "same id")]
+    again = [(6, "one two"), (6, "one two"), (6, "three one two"), (None, " ".join(cut[:30])), (None, " ".join(cut[:30])), (None, " ".join(cut[9:40]) + " one two"), (None, None), (None, "")]
+    texts = [(i, t) for i, t, _ in rows] + again
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.decontaminate(docs.unionByName(frame(spark, [(i, t, "a") for i, t in again])), table, block_words=block_words)
+    assert got.columns == ["doc_id", "n_words", "n_hit", "items", "spans"]
+    found = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect())
+    assert found == Counter(brute_decontamination(texts, items, 10)) and sum(found.values()) == len(texts)
+
+
 def test_decontamination_proximity_and_empty(spark, none):
     item = spark.createDataFrame([(1, "the quick brown fox jumps")], "item_id long, text string")
     docs = frame(spark, [(1, "see the quick old brown fox jumps over", "a"), (2, "the quick brown fox jumps", "a"), (3, "fox", "a"), (4, "jumps fox brown quick the", "a")])

@@ -11,7 +11,9 @@ rarest term on; with ``slop`` a term may stand that many words from its place
 
 The benchmark is the query set: it is taken in blocks of at most ``block_words``
 words, each collected and sent to the executors, so what is broadcast is
-bounded however large it grows.
+bounded however large it grows.  The blocks' results of one document meet by
+its doc_id and a 128-bit digest of its text; rows that are alike in both have
+the same result in every block and are counted, so each row comes out again.
 
 Defined cases: null or empty texts have no words; items without words never
 occur; a null item_id is written as the empty string; rows with one item_id
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 from vaultlens.llm import common
 from vaultlens.llm.common import ALNUM, arrow_schema, batch, scratch, spark_type
 
-INDEX = "doc_ids array<bigint>, doc_starts binary, terms binary, ends binary, gaps binary"
+INDEX = "doc_ids array<bigint>, digests array<binary>, doc_starts binary, terms binary, ends binary, gaps binary"
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+KEYED = f"{FOUND}, digest binary"
 
 
 def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,18 +71,21 @@ class Queries:
         return dict(out)
 
 
-def query_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Queries]:
-    """The items (item_id, text) in blocks of about block_words words, one at a time on the driver."""
+def query_blocks(items: DataFrame, window: int, block_words: int) -> tuple[int, Iterator[Queries]]:
+    """Number of blocks of about block_words words; the items (item_id, text) in them, one at a time on the driver."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (block_words * 6)))
-    for k in range(n):
+
+    def block(k: int) -> Queries:
         got = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
-        yield Queries([r.item_id for r in got], [r.text for r in got], window)
+        return Queries([r.item_id for r in got], [r.text for r in got], window)
+
+    return n, map(block, range(n))
 
 
-def build_index(docs: DataFrame, queries: Queries, path: str) -> DataFrame:
-    """Postings of the queries' terms in every document, stored at path."""
+def build_index(docs: DataFrame, queries: Queries, path: str, keyed: bool = False) -> DataFrame:
+    """Postings of the queries' terms in every document, stored at path; with digests of the texts if keyed."""
     terms, out = queries.terms, arrow_schema(INDEX)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +107,9 @@ def build_index(docs: DataFrame, queries: Queries, path: str) -> DataFrame:
                     gaps[np.concatenate([[0], ends[:-1]]).astype(int)] = place[np.concatenate([[0], ends[:-1]]).astype(int)]
                 ids = b.column("doc_id").slice(i, j - i)
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids.cast(pa.int64()))
-                yield batch(out, ids, [starts.tobytes()], [present.astype("<u4").tobytes()], [ends.astype("<u4").tobytes()], [gaps.astype("<u4").tobytes()])
+                view = memoryview(np.ascontiguousarray(data))
+                digests = [hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)] if keyed else None
+                yield batch(out, ids, [digests], [starts.tobytes()], [present.astype("<u4").tobytes()], [ends.astype("<u4").tobytes()], [gaps.astype("<u4").tobytes()])
 
     docs.select("doc_id", "text").mapInArrow(index, spark_type(INDEX)).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(spark_type(INDEX)).parquet(path)
@@ -138,8 +146,8 @@ def intersect(lists: dict[int, np.ndarray], phrase: list[tuple[int, int]], slop:
 
 
 def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
-    """FOUND for every indexed document: words, words hit, items that occur and the hit spans of words."""
-    rarest, out = queries.by_rarest(term_frequencies(index, len(queries.terms))), arrow_schema(FOUND)
+    """KEYED for every indexed document: words, words hit, items that occur and the hit spans of words."""
+    rarest, out = queries.by_rarest(term_frequencies(index, len(queries.terms))), arrow_schema(KEYED)
     sent = index.sparkSession.sparkContext.broadcast(rarest)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,33 +184,36 @@ def search(index: DataFrame, queries: Queries, slop: int = 0) -> DataFrame:
                         d = int(np.searchsorted(starts, x, side="right")) - 1
                         spans[d].append({"start": x - int(starts[d]), "end": y - int(starts[d])})
                 n = len(starts) - 1
-                yield batch(out, row["doc_ids"], np.diff(starts), n_hit, [sorted(items.get(d, ())) for d in range(n)], [spans.get(d, []) for d in range(n)])
+                yield batch(out, row["doc_ids"], np.diff(starts), n_hit, [sorted(items.get(d, ())) for d in range(n)], [spans.get(d, []) for d in range(n)], row["digests"] or [None] * n)
 
-    return index.mapInArrow(look, spark_type(FOUND))
+    return index.mapInArrow(look, spark_type(KEYED))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, block_words: int = 2_000_000) -> DataFrame:
     """FOUND for every document of docs (doc_id, text) against items (item_id, text).
 
-    With more than one block of queries the blocks' results are merged by
-    doc_id, n_hit from the union of spans, so repeated doc_ids then share a row.
+    Every row has its own result, however many blocks of queries there are.
     """
+    n, blocks = query_blocks(items, window, block_words)
     found = None
-    for k, queries in enumerate(query_blocks(items, window, block_words)):
-        index = build_index(docs, queries, scratch(docs.sparkSession, "postings"))
+    for queries in blocks:
+        index = build_index(docs, queries, scratch(docs.sparkSession, "postings"), keyed=n > 1)
         part = search(index, queries, slop)
         found = part if found is None else found.unionByName(part)
-    if k == 0:
-        return found
-    merged = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all")
-    )
+    if n == 1:
+        return found.drop("digest")
+    # sets, so that a group holds one list for each block, however often its row is repeated
+    merged = found.groupBy("doc_id", "digest").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_set("spans"))).alias("all"), (F.count("*") / n).cast("int").alias("rows"),
+    )
     merged = merged.withColumn("spans", F.expr(
         "aggregate(all, cast(array() as array<struct<start:int,end:int>>), (a, s) -> if(size(a) > 0 and element_at(a, -1).end >= s.start,"
         " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), concat(a, array(s))))"
     ))
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
-    return merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    merged = merged.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", "rows")
+    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows", "copy")
 
 
 def items_digest(items: list[str]) -> str:
