@@ -226,3 +226,17 @@ def test_identify_games(spark):
         "cx": ("confirmed", "cxcrypt"), "odd": ("failed", None),
     }
     assert got["cx"].checked == 3 and got["cx"].failures == 0
+
+
+def test_identify_games_verifies_every_fitting_scheme(spark):
+    import zlib
+
+    byte = lambda data, shift: zlib.adler32(data) >> shift & 0xFF
+    some = (PNG + bytes([a, b]) for a in range(256) for b in range(256))
+    small = next(d for d in some if byte(d, 9) and any(byte(d, s) == byte(d, 9) for s in range(9)) and all(byte(d, s) != byte(d, 9) for s in range(10, 32)))
+    data = xp3.build([Member(n, d) for n, d in (("a.png", small), ("b.png", PNG + bytes(40)), ("c.png", PNG + bytes(range(70))))], True, "hash-xor", {"shift": 9})
+    assert detect.probe_one(data)[1]["shift"] < 9
+    found = spark.createDataFrame([("g", "g/data.xp3", "h", bytearray(data), None)], "game_dir string, archive string, hash string, content binary, plugin binary")
+    none = spark.createDataFrame([], "game_dir string, name string, hash string")
+    got = detect.identify_games(found, none, detect.library(spark, ""), detect.library(spark, "", "plain")).first()
+    assert (got.status, got.encryption, json.loads(got.parameters), got.checked) == ("confirmed", "hash-xor", {"shift": 9}, 3)

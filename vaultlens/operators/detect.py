@@ -110,19 +110,27 @@ def candidates(content: bytes, force: bool = False) -> list[tuple]:
     return sorted(out, key=lambda c: (not c[0].encrypted, c[0].segments[0].compressed_size))
 
 
-def probe_one(content: bytes, plugin: bytes | None = None, force: bool = False) -> tuple[str, dict] | None:
-    """The first scheme under which the smallest candidate begins as its extension says."""
+def probe_all(content: bytes, plugin: bytes | None = None, force: bool = False) -> Iterator[tuple[int, str, dict]]:
+    """(place, scheme, parameters) of every scheme under which the smallest candidate begins as its extension says."""
     found = candidates(content, force)
     if not found:
-        return None
+        return
     entry, ext, raw = min(found, key=lambda c: c[0].segments[0].compressed_size)
     key, magic = entry.key or 0, paths.SIGNATURES[ext]
-    for name, parameters in schemes(plugin):
+    for place, (name, parameters) in enumerate(schemes(plugin)):
         if name == "hash-xor" and not key >> parameters["shift"] & 0xFF:
             continue
         if (plain := xp3.try_decrypt(raw, entry.segments[0], key, name, parameters)) and plain.startswith(magic):
-            return name, parameters
-    return None
+            yield place, name, parameters
+
+
+def probe_one(content: bytes, plugin: bytes | None = None, force: bool = False) -> tuple[str, dict] | None:
+    """The first scheme under which the smallest candidate begins as its extension says."""
+    return next(((name, parameters) for _, name, parameters in probe_all(content, plugin, force)), None)
+
+
+def shown(parameters: dict) -> str:
+    return json.dumps({k: v for k, v in parameters.items() if k != "control_block"})
 
 
 DETECTED = "archive string, encryption string, parameters string, method string"
@@ -140,13 +148,31 @@ def by_probe(archives: DataFrame, force: bool = False) -> DataFrame:
                 except MalformedError:
                     hit = None
                 if hit:
-                    shown = {k: v for k, v in hit[1].items() if k != "control_block"}
-                    rows.append((archive, hit[0], json.dumps(shown), "probe"))
+                    rows.append((archive, hit[0], shown(hit[1]), "probe"))
             yield pd.DataFrame(rows, columns=["archive", "encryption", "parameters", "method"])
 
     return archives.select("archive", "content", "plugin").mapInPandas(run, DETECTED)
 
 
+GUESSES = "archive string, place int, encryption string, parameters string"
+
+
+def fitting_schemes(archives: DataFrame, force: bool = False) -> DataFrame:
+    """GUESSES: every scheme that fits the sample of an archive (archive, content, plugin), with its place in schemes()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for archive, content, plugin in zip(b.archive, b.content, b.plugin, strict=True):
+                try:
+                    rows += [(archive, place, name, shown(parameters)) for place, name, parameters in probe_all(content, plugin, force)]
+                except MalformedError:
+                    continue
+            yield pd.DataFrame(rows, columns=["archive", "place", "encryption", "parameters"])
+
+    return archives.select("archive", "content", "plugin").mapInPandas(run, GUESSES)
+
+
 def detect(archives: DataFrame, plugins: DataFrame, books: DataFrame, force: bool = False) -> DataFrame:
     """DETECTED of every archive (archive, content, plugin) that some stage knows: plugin, then structure, then probe."""
     columns = ["archive", "encryption", "parameters", "method"]
@@ -261,8 +287,9 @@ def identify_games(archives: DataFrame, plugins: DataFrame, books: DataFrame, pl
 
     archives: game_dir, archive, hash, content, plugin; plugins: game_dir, name,
     hash.  Statuses: known; unencrypted (no flags, and enough contents are as
-    their names say); inconclusive (no flags, too few contents); confirmed (a
-    scheme that fits enough contents and fails none); failed.  Folders without
+    their names say); inconclusive (no flags, too few contents); confirmed (the
+    first of all schemes that fit a sample that fits enough contents and fails
+    none); failed.  Folders without
     flags whose contents don't fit are probed like flagged ones.
     """
     from vaultlens.operators import archives as relations
@@ -282,12 +309,13 @@ def identify_games(archives: DataFrame, plugins: DataFrame, books: DataFrame, pl
     unflagged = tally.withColumn("status", F.when(F.col("confirmed"), "unencrypted").when(F.col("failures") == 0, "inconclusive")).withColumns(blank)
     done = unflagged.where("status is not null").select(*columns)
     open_ = rest.join(done.select("game_dir"), "game_dir", "left_anti")
-    guesses = by_probe(open_, force=True).join(open_.select("game_dir", "archive"), "archive").select("game_dir", "encryption", "parameters").distinct()
+    guesses = fitting_schemes(open_, force=True).join(open_.select("game_dir", "archive"), "archive")
+    guesses = guesses.groupBy("game_dir", "encryption", "parameters").agg(F.min("place").alias("place"))
     tries = open_.where(~paths.is_patch(F.col("archive"))).join(guesses, "game_dir")
     tagged = tries.withColumn("archive", F.to_json(F.struct("archive", "encryption", "parameters")))
-    results = scheme_checks(tagged).join(tagged.select("archive", "game_dir", "encryption", "parameters"), "archive")
-    best = verdict(results, ["game_dir", "encryption", "parameters"], enough).where("confirmed")
-    best = best.groupBy("game_dir").agg(F.max(F.struct("checked", "encryption", "parameters", "failures")).alias("b")).select("game_dir", "b.*")
+    results = scheme_checks(tagged).join(tagged.select("archive", "game_dir", F.col("place").alias("scheme"), "encryption", "parameters"), "archive")
+    best = verdict(results, ["game_dir", "scheme", "encryption", "parameters"], enough).where("confirmed")
+    best = best.groupBy("game_dir").agg(F.min(F.struct("scheme", "encryption", "parameters", "checked", "failures")).alias("b")).select("game_dir", "b.*")
     confirmed = best.withColumn("status", F.lit("confirmed")).select(*columns)
     failed = open_.select("game_dir").distinct().join(confirmed.select("game_dir"), "game_dir", "left_anti")
     failed = failed.withColumn("status", F.lit("failed")).withColumns(blank).withColumns(counts).select(*columns)
