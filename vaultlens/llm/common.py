@@ -1,7 +1,8 @@
-"""Shared helpers: scratch tables, Arrow text buffers, vectorised word hashing."""
+"""Shared helpers: scratch tables, Arrow text buffers, vectorised hashing and integer packing."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,10 +17,12 @@ CHUNK_BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """Send Python workers at most 1,000 rows at once, unless the session says otherwise: texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """Send Python workers at most 1,000 rows and about 32 MB at once, unless the session says otherwise: texts may be long."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
+    if int(spark.conf.get(size).removesuffix("b")) >= (1 << 31) - 1:
+        spark.conf.set(size, str(32 << 20))
     return spark
 
 
@@ -64,6 +67,16 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def anonymous(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """(docs with its columns named c0, c1, ..., the new names of the wanted ones): no name of the caller's can clash then.
+
+    A name is taken as written or, if no column has it so, without regard to case.
+    """
+    lower = [c.lower() for c in docs.columns]
+    places = [docs.columns.index(w) if w in docs.columns else lower.index(w.lower()) for w in wanted]
+    return docs.toDF(*(f"c{k}" for k in range(len(lower)))), [f"c{k}" for k in places]
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, null as empty; offsets has one more entry than rows."""
     if isinstance(col, pa.ChunkedArray):
@@ -131,6 +144,49 @@ def substring_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return mix64((prefix[end] - prefix[start]) * up[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+#: Bytes above which a span is hashed by a digest of the whole.
+LONG_SPAN = 2048
+LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, which depends on these bytes alone.
+
+    Eight bytes at a time are mixed in by a bijection, so unlike sums of powers
+    it has no family of texts that collide whatever the multiplier is.
+    """
+    starts, length = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - np.asarray(starts, np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lane = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix64(length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + PRIME)
+    view, step = memoryview(padded), 0
+    for k in np.flatnonzero(length > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(view[starts[k] : starts[k] + length[k]], digest_size=8).digest(), "little")
+    on = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    while len(on):
+        out[on] = mix64(out[on] ^ (lane[starts[on] + step] & LANE_MASKS[np.minimum(length[on] - step, 8)]))
+        step += 8
+        on = on[length[on] > step]
+    return out
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned integers as byte planes, as many as the largest needs, compressed."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    raw = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(packed: bytes) -> np.ndarray:
+    n, width = int.from_bytes(packed[:8], "little"), packed[8]
+    raw = pa.decompress(packed[9:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     return LOWER[data]
 

@@ -56,7 +56,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
     data = common.ascii_lower(data)
     starts, ends, doc = common.words(data, offsets, NOT_BLANK)
-    word = common.substring_hash(common.prefix_hash(data), starts, ends)
+    word = common.span_hash(data, starts, ends)
     runs = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
     for k, m in enumerate(STEP):
         runs += word[k : k + len(runs)] * m
