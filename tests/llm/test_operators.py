@@ -269,24 +269,31 @@ def test_decontamination_proximity_and_empty(spark, none):
 # 6 language model
 
 
-def test_language_model(docs, rows, none, monkeypatch):
-    mu = 100.0
+def brute_scores(rows, mu=100.0):
     texts = [(i, [*words(t), None]) for i, t, _ in rows]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, w in texts:
         if not held[i]:
             one.update(w)
             two.update(itertools.pairwise([None, *w]))
+            three.update(zip([None, *w], w, w[1:], strict=False))
     total, kinds = sum(one.values()), len(one)
-    p = lambda x: (one[x] + 1) / (total + kinds + 1)
+    p1 = lambda x: (one[x] + 1) / (total + kinds + 1)
+    p2 = lambda h, x: (two[h, x] + mu * p1(x)) / (one[h] + mu)
+    p3 = lambda g, h, x: (three[g, h, x] + mu * p2(h, x)) / (two[g, h] + mu)
     expected = defaultdict(list)
     for i, w in texts:
-        base = sum(math.log10(p(x)) for x in w)
-        full = sum(math.log10((two[h, x] + mu * p(x)) / (one[h] + mu)) for h, x in itertools.pairwise([None, *w]))
+        base = sum(math.log10(p1(x)) for x in w)
+        full = math.log10(p2(None, w[0])) + sum(math.log10(p3(*x)) for x in zip([None, *w], w, w[1:], strict=False))
         expected[i].append((held[i], len(w), sum(one[x] > 0 for x in w), total, base, full))
-    got = defaultdict(list)
-    for r in language_model.score(docs).collect():
+    return expected
+
+
+@pytest.mark.parametrize("small", [{}, {"block_bytes": 3000, "group_entries": 700}])
+def test_language_model(docs, rows, none, small):
+    expected, got = brute_scores(rows), defaultdict(list)
+    for r in language_model.score(docs, **small).collect():
         got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
     assert got.keys() == expected.keys()
     for i, e in expected.items():
@@ -294,20 +301,60 @@ def test_language_model(docs, rows, none, monkeypatch):
     assert language_model.score(none).count() == 0
 
 
-def test_automaton_lanes_agree_with_one_walk():
+def test_automaton_lanes_agree_with_one_walk(monkeypatch):
     rng = np.random.default_rng(6)
-    n = 50
-    arcs = np.unique(rng.integers(0, n * n, 300))
-    a = language_model.Automaton(arcs, rng.normal(size=len(arcs)), rng.normal(size=n), rng.normal(size=n))
-    text, first = rng.integers(0, n, 2000), np.array([0, 7, 8, 900])
-    state, expected = None, []
-    for k, w in enumerate(text):
-        state = 3 if k in first else state
-        key = state * n + w
-        at = np.searchsorted(arcs, key)
-        expected.append(a.weights[at] if at < len(arcs) and arcs[at] == key else a.fail[state] + a.root[w])
-        state = w
-    assert np.allclose(a.read(text, first, 3), expected)
+    n, one, two = 12, {}, {}  # word -> following words; bigram -> following words, each seen as a bigram with its second word
+    text, first = rng.integers(0, n, 3000), [0, 7, 8, 900]
+    for u in range(n):
+        one[u] = set(rng.choice(n, 5, replace=False).tolist())
+    for u in range(n):
+        for v in one[u]:
+            two[u, v] = {w for w in one[v] if rng.random() < 0.5}
+    pairs = sorted(two)
+    number = {p: n + k for k, p in enumerate(pairs)}
+    arcs = {(u, v): (rng.normal(), number[u, v]) for u, v in pairs} | {(number[p], w): (rng.normal(), number[p[1], w]) for p in pairs for w in two[p]}
+    keys = sorted(arcs)
+    fail, root = rng.normal(size=n + len(pairs)), rng.normal(size=n)
+    back = np.array([n + len(pairs)] * n + [v for _, v in pairs])
+    weights, targets = (np.array(x) for x in zip(*(arcs[k] for k in keys), strict=True))
+    a = language_model.Automaton(np.array([s * n + w for s, w in keys]), weights, targets, fail, back, root)
+    state, expected, failures = None, [], Counter()
+    for k, w in enumerate(text.tolist()):
+        state, weight, steps = 3 if k in first else state, 0.0, 0
+        while state < n + len(pairs) and (state, w) not in arcs:
+            weight, state, steps = weight + fail[state], back[state], steps + 1
+        gained, state = arcs[state, w] if state < n + len(pairs) else (root[w], w)
+        expected.append(weight + gained)
+        failures[steps] += 1
+    assert min(failures[0], failures[1], failures[2]) > 100
+    for lanes in (1, 5, 4096):
+        monkeypatch.setattr(a, "LANES", lanes)
+        assert np.allclose(a.read(text, np.array(first), 3), expected)
+
+
+def test_counts_and_codes_have_no_fixed_width():
+    for top in (1 << 16, (1 << 24) + 7, (1 << 32) + 1, (1 << 63) + 5):
+        values = np.array([0, top, 3, top - 1], np.uint64)
+        assert common.expand(common.squeeze(values)).tolist() == values.tolist()
+    hashes = np.sort(common.mix64(np.arange(200_000, dtype=np.uint64)))
+    at = language_model.bounds(hashes, 64, 100_000)  # more groups than 16 bits number
+    assert at[0] == 0 and at[-1] == len(hashes) and np.diff(at).max() < 20
+
+
+def thue_morse(k):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << k))
+
+
+def test_words_that_sums_of_powers_confuse_count_apart(spark):
+    pairs = [(thue_morse(k), thue_morse(k).translate(str.maketrans("ab", "ba"))) for k in (4, 10, 12)]
+    rows = [(k, w, "a") for k, w in enumerate(w for p in pairs for w in p)]
+    docs = frame(spark, rows)
+    items = spark.createDataFrame([(k, p[0]) for k, p in enumerate(pairs)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, items).where("n_hit > 0").collect()) == [0, 2, 4]
+    expected = brute_scores(rows)
+    for r in language_model.score(docs).collect():
+        assert (r.n_known, r.train_tokens) == expected[r.doc_id][0][2:4] and r.score == pytest.approx(expected[r.doc_id][0][5])
+    assert near_duplicates.near_duplicates(docs).where("kept").count() == 6
 
 
 # 7 fingerprints

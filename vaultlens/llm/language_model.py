@@ -1,20 +1,28 @@
 """Language-model scoring by a weighted backoff automaton over words.
 
-Unigrams are smoothed by adding one, bigrams by a Dirichlet prior on the
-unigrams: p(w | h) = (c(hw) + mu * p(w)) / (c(h) + mu).  Each word seen in
-training is a state with an arc, weighted log10 p(w | h), for each bigram seen;
-its failure arc, weighted log10(mu / (c(h) + mu)), leads to the root, which has
+Unigrams are smoothed by adding one; bigrams and trigrams by a Dirichlet prior
+on the order below: p(w | uv) = (c(uvw) + mu * p(w | v)) / (c(uv) + mu).  The
+states are the words and the bigrams seen in training.  A state has an arc,
+weighted log10 p, for each word seen after it, which leads to the longest state
+that ends the history then; its failure arc, weighted log10(mu / (c + mu)),
+leads from a bigram to its second word and from a word to the root, which has
 an arc for every word.  A text is read once from left to right from the state
-of the end token; the state is carried on and the arcs' weights are added up.
+of the end token; the state is carried on, failure arcs are followed until an
+arc fits, and the weights of all arcs taken are added up.
 
 The model is never gathered in one place.  Texts become blocks of about 6 MB,
 stored once with words as local codes.  A block sends the hash and count of
-each of its distinct words and bigrams to the group that the hash falls in;
-the group adds up all blocks' counts and answers each block with the totals of
-what it asked for, from which the block builds its part of the automaton.  A
-word with a third of all tokens is one entry of each block.
-
-Words are told apart by 64-bit hashes, bigrams by 48 bits and their group.
+each of its distinct n-grams to the group that the hash falls in; the group adds
+up all blocks' counts and answers each block with the totals of what it asked
+for, from which the block builds its part of the automaton.  A word with a
+third of all tokens is one entry of each block.  Entries travel sorted, as
+compressed differences, so a block and a group exchange one row for each order;
+block_bytes and group_entries should both grow with the square root of the
+input where blocks times groups would be more rows than entries justify.
+
+Words are told apart by 64-bit hashes.  Longer n-grams are told apart by as
+many bits of theirs, up to 64, as keep the chance that one meets another's
+below 2 ** -24.  Counts and codes have no fixed width.
 
 Defined cases: null text is the empty text, which is the end token alone; a
 null doc_id has the empty string's remainder; repeated rows each count; an
@@ -32,15 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, scratch, spark_type, stored
+from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, expand, scratch, spark_type, squeeze, stored
 
+ORDER = 3
 BLOCK_BYTES = 6 << 20
 #: Entries that a group adds up at once.
 GROUP_ENTRIES = 1_000_000
+#: Bits of an n-gram's hash beyond those that number the corpus's tokens.
+CLASH_BITS = 24
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK = "block long, doc_ids array<bigint>, held binary, ends binary, codes binary, vocabulary binary, n_words long, n_tokens long, train_tokens long"
-ASKED = "block long, part int, hashes binary, counts binary"
-ANSWER = "block long, part int, totals binary, n_distinct long"
+ASKED = "block long, part long, hashes binary, counts binary"
+ANSWER = "block long, part long, totals binary, n_distinct long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -53,29 +64,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     data = common.ascii_lower(data)
     starts, ends, doc = common.words(data, offsets, NOT_BLANK)
     stop = np.searchsorted(doc, np.arange(1, len(offsets)))
-    hashes = np.insert(common.substring_hash(common.prefix_hash(data), starts, ends), stop, END)
+    hashes = np.insert(common.span_hash(data, starts, ends), stop, END)
     return hashes, stop + np.arange(1, len(offsets))
 
 
-def planes(codes: np.ndarray) -> bytes:
-    """The low, middle and high bytes of codes under 2**24, which compress better apart."""
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
-
-
-def from_planes(raw: bytes) -> np.ndarray:
-    low, mid, high = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.int64)
-    return low | mid << 8 | high << 16
-
-
-def bigram_keys(codes: np.ndarray, ends: np.ndarray, end_code: int, size: int) -> np.ndarray:
-    """state * size + word for every token; a document begins in the end token's state."""
-    before = np.empty_like(codes)
-    before[1:] = codes[:-1]
-    before[np.concatenate([[0], ends[:-1]])] = end_code
-    return before * size + codes
-
-
-def make_blocks(docs: DataFrame, path: str, of: int, is_: int) -> DataFrame:
+def make_blocks(docs: DataFrame, path: str, of: int, is_: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Store the blocks of docs (doc_id, text), bucketed by block so that answers join them where they are."""
     out, spark = arrow_schema(BLOCK), docs.sparkSession
 
@@ -92,7 +85,7 @@ def make_blocks(docs: DataFrame, path: str, of: int, is_: int) -> DataFrame:
         vocabulary, code = vocabulary[order], rank[code]
         held = np.array([held_out(i, of, is_) for i in ids])
         length = np.diff(ends, prepend=0)
-        return batch(out, [part << 32 | seq], [ids], [held.tobytes()], [ends.astype("<u4").tobytes()], [planes(code)], [vocabulary.tobytes()],
+        return batch(out, [part << 32 | seq], [ids], [held.tobytes()], [squeeze(ends)], [squeeze(code)], [vocabulary.tobytes()],
                      [len(vocabulary)], [len(code)], [int(length[~held].sum())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +101,7 @@ def make_blocks(docs: DataFrame, path: str, of: int, is_: int) -> DataFrame:
                 hashes.append(h)
                 ends.append(e)
                 size += len(data)
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block(part, seq, ids, hashes, ends)
                     ids, hashes, ends, seq, size = [], [], [], seq + 1, 0
         if ids:
@@ -123,74 +116,107 @@ def make_blocks(docs: DataFrame, path: str, of: int, is_: int) -> DataFrame:
     return blocks
 
 
-class Local:
-    """A block's words, documents and distinct bigrams."""
+def train_places(held: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each token is learnt from."""
+    return np.repeat(~held, np.diff(ends, prepend=0))
 
-    def __init__(self, row: dict):
-        self.codes, self.vocabulary = from_planes(row["codes"]), np.frombuffer(row["vocabulary"], np.uint64)
-        self.ends, self.held = np.frombuffer(row["ends"], "<u4").astype(np.int64), np.frombuffer(row["held"], bool)
-        self.end_code = int(np.flatnonzero(self.vocabulary == END)[0])
-        self.keys = bigram_keys(self.codes, self.ends, self.end_code, len(self.vocabulary))
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(training count of each word, distinct bigram keys, training count of each)."""
-        train = np.repeat(~self.held, np.diff(self.ends, prepend=0))
-        bigrams = np.unique(self.keys)
-        words = np.bincount(self.codes[train], minlength=len(self.vocabulary))
-        seen, n = np.unique(self.keys[train], return_counts=True)
-        counts = np.zeros(len(bigrams), np.int64)
-        counts[np.searchsorted(bigrams, seen)] = n
-        return words, bigrams, counts
-
-    def bigram_hashes(self, bigrams: np.ndarray) -> np.ndarray:
-        h, w = np.divmod(bigrams, len(self.vocabulary))
-        return common.mix64(self.vocabulary[h] * common.PRIME + self.vocabulary[w])
 
+class Local:
+    """A block's words and documents, and the hashes of the n-grams that its tokens end."""
 
-def grouped(hashes: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order that puts entries of a group together, bounds of the groups in it)."""
-    group = (hashes >> np.uint64(48)) % np.uint64(groups)
-    order = np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(group.astype(np.int64), minlength=groups))])
+    def __init__(self, row: dict, bits: int):
+        self.codes, self.vocabulary = expand(row["codes"]).astype(np.int64), np.frombuffer(row["vocabulary"], np.uint64)
+        self.ends, self.held = expand(row["ends"]).astype(np.int64), np.frombuffer(row["held"], bool)
+        self.first = np.concatenate([[0], self.ends[:-1]])
+        self.end_code = int(np.flatnonzero(self.vocabulary == END)[0])
+        self.train, self.bits = train_places(self.held, self.ends), bits
 
+    def before(self) -> np.ndarray:
+        """The word before each token; a document begins after an end token."""
+        out = np.empty_like(self.codes)
+        out[1:] = self.codes[:-1]
+        out[self.first] = self.end_code
+        return out
 
-def ask(blocks: DataFrame, word_groups: int, bigram_groups: int) -> DataFrame:
-    """ASKED: each block's distinct words and bigrams with their training counts, by group."""
+    def ngrams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of the tokens that end one, its hash) for each order from 2 on; its context begins in the document or is its end mark."""
+        word = self.vocabulary[self.codes]
+        hashes = common.mix64(self.vocabulary[self.before()] * common.PRIME + word)
+        drop, place = np.uint64(64 - self.bits), np.arange(len(word))
+        yield place, hashes >> drop
+        for _ in range(3, ORDER + 1):
+            inner = np.ones(len(word), bool)
+            inner[self.first] = False
+            place = place[inner[place]]
+            hashes = np.append(np.uint64(0), hashes[:-1])
+            hashes = common.mix64(hashes * common.PRIME + word)
+            yield place, hashes[place] >> drop
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """The first place of each distinct value of a sorted array."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
+def tally(hashes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes in order, how often each is learnt from)."""
+    seen, rest = np.sort(hashes[train]), np.sort(hashes[~train])
+    first = runs(seen)
+    distinct, n = seen[first], np.diff(first, append=len(seen))
+    rest = rest[runs(rest)]
+    if len(distinct):
+        rest = rest[distinct[np.minimum(np.searchsorted(distinct, rest), len(distinct) - 1)] != rest]
+    both = np.concatenate([distinct, rest])
+    order = np.argsort(both, kind="stable")
+    return both[order], np.concatenate([n, np.zeros(len(rest), np.int64)])[order]
+
+
+def bounds(hashes: np.ndarray, bits: int, groups: int) -> np.ndarray:
+    """Where each of the groups, equal ranges of all hashes of so many bits, begins and ends in sorted hashes."""
+    high = hashes >> np.uint64(bits - 32)
+    return np.searchsorted((high * np.uint64(groups)) >> np.uint64(32), np.arange(groups + 1, dtype=np.uint64))
+
+
+def ask(blocks: DataFrame, groups: list[int], bits: int) -> DataFrame:
+    """ASKED: each block's distinct n-grams with their training counts, by group; groups: how many each order has."""
     out = arrow_schema(ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                local = Local(row)
-                words, bigrams, pairs = local.counted()
-                for first, groups, hashes, counts, wide in ((0, word_groups, local.vocabulary, words, 8), (word_groups, bigram_groups, local.bigram_hashes(bigrams), pairs, 6)):
-                    order, at = grouped(hashes, groups)
-                    hashes, counts = hashes[order], counts[order].astype("<u4")
-                    raw = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :wide])
-                    for g in range(groups):
-                        if at[g] < at[g + 1]:
-                            yield batch(out, [row["block"]], [first + g], [raw[at[g] : at[g + 1]].tobytes()], [counts[at[g] : at[g + 1]].tobytes()])
+                local, part = Local(row, bits), 0
+                order = np.argsort(local.vocabulary)
+                words = np.bincount(local.codes[local.train], minlength=len(local.vocabulary))
+                tallies = [(local.vocabulary[order], words[order], 64), *((*tally(h, local.train[place]), bits) for place, h in local.ngrams())]
+                for (hashes, counts, wide), n in zip(tallies, groups, strict=True):
+                    at = bounds(hashes, wide, n)
+                    here = np.flatnonzero(at[1:] > at[:-1])
+                    cut = [(int(at[g]), int(at[g + 1])) for g in here]
+                    gaps = [squeeze(np.diff(hashes[x:y], prepend=np.uint64(0))) for x, y in cut]
+                    yield batch(out, [row["block"]] * len(cut), here + part, gaps, [squeeze(counts[x:y]) for x, y in cut])
+                    part += n
 
     return blocks.select("block", "held", "ends", "codes", "vocabulary").mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame, word_groups: int) -> DataFrame:
+def answer(asked: DataFrame) -> DataFrame:
     """ANSWER: the totals over all blocks of what each block asked for, in its order."""
     out = arrow_schema(ANSWER)
 
     def total(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        wide = 8 if part < word_groups else 6
-        parts = [np.frombuffer(h, np.uint8).reshape(-1, wide) for _, h, _ in rows]
-        keys = np.zeros((sum(map(len, parts)), 8), np.uint8)
-        np.concatenate(parts, out=keys[:, :wide])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for *_, c in rows])
-        _, at = np.unique(keys.view(np.uint64).ravel(), return_inverse=True)
-        sums = np.bincount(at, counts).astype(np.int64)
+        hashes = [np.cumsum(expand(h), dtype=np.uint64) for _, h, _ in rows]
+        counts = np.concatenate([expand(c) for *_, c in rows]).astype(np.int64)
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")  # a merge of sorted runs
+        first = runs(flat[order])
+        sums = np.add.reduceat(counts[order], first)
+        of = np.empty(len(flat), np.int64)
+        of[order] = np.repeat(sums, np.diff(first, append=len(flat)))
         distinct, n = int(np.count_nonzero(sums)), 0
         for k, (block, *_) in enumerate(rows):
-            size = len(parts[k])
-            yield batch(out, [block], [part], [np.minimum(sums[at[n : n + size]], 0xFFFFFFFF).astype("<u4").tobytes()], [distinct if k == 0 else 0])
+            size = len(hashes[k])
+            yield batch(out, [block], [part], [squeeze(of[n : n + size])], [distinct if k == 0 else 0])
             n += size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,27 +236,45 @@ def answer(asked: DataFrame, word_groups: int) -> DataFrame:
 
 
 class Automaton:
-    """States are codes of words; the root is left by failing from a state without the arc."""
+    """States are numbers; those below the number of words are the words themselves, and the root has the number past the last.
+
+    arcs: sorted state * words + word; weights and targets: of each arc;
+    fail and back: weight and target of each state's failure arc; root: the
+    weights of the root's arcs, which lead to the words.
+    """
 
     LANES = 4096
 
-    def __init__(self, arcs: np.ndarray, weights: np.ndarray, fail: np.ndarray, root: np.ndarray):
-        self.arcs, self.weights, self.fail, self.root = arcs, weights, fail, root
+    def __init__(self, arcs: np.ndarray, weights: np.ndarray, targets: np.ndarray, fail: np.ndarray, back: np.ndarray, root: np.ndarray):
+        self.arcs, self.weights, self.targets, self.fail, self.back, self.root = arcs, weights, targets, fail, back, root
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next state, log10 probability) for reading word in state."""
-        weight = self.fail[state] + self.root[word]
-        if len(self.arcs):
-            key = state * len(self.root) + word
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            weight = np.where(self.arcs[at] == key, self.weights[at], weight)
-        return word, weight
+        to, weight = word.copy(), np.zeros(len(word))
+        on = np.arange(len(word))
+        while len(on):
+            s, w = state[on], word[on]
+            rooted = s == len(self.fail)
+            weight[on[rooted]] += self.root[w[rooted]]
+            on, s, w = on[~rooted], s[~rooted], w[~rooted]
+            if len(self.arcs):
+                at = np.minimum(np.searchsorted(self.arcs, s * len(self.root) + w), len(self.arcs) - 1)
+                hit = self.arcs[at] == s * len(self.root) + w
+                weight[on[hit]] += self.weights[at[hit]]
+                to[on[hit]] = self.targets[at[hit]]
+                on, s = on[~hit], s[~hit]
+            weight[on] += self.fail[s]
+            state = state.copy()
+            state[on] = self.back[s]
+        return to, weight
 
     def read(self, words: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
         """Weights along one traversal of words, back in state start at each of the positions first.
 
-        The traversal is cut into lanes that advance side by side; a lane's
-        first state is the one its predecessor ends in, the word before it.
+        The traversal is cut into lanes that advance side by side.  A lane
+        enters in the state its predecessor ends in: the longest that the words
+        before it make, to which any history leads that is read for ORDER - 2
+        words from a word's state.
         """
         n = len(words)
         out = np.zeros(n)
@@ -238,46 +282,71 @@ class Automaton:
         fresh = np.zeros(n, bool)
         fresh[first] = True
         lanes = np.arange(0, n, steps)
-        state = np.where(lanes > 0, words[lanes - 1], start)
-        for k in range(steps):
-            at = lanes + k
-            if at[-1] >= n:
-                at = at[at < n]
-                state = state[: len(at)]
-            state, out[at] = self.step(np.where(fresh[at], start, state), words[at])
+        state = words[np.maximum(lanes - ORDER + 1, 0)]
+        for k in range(2 - ORDER, steps):
+            on = np.flatnonzero((lanes + k >= 0) & (lanes + k < n))
+            at = lanes[on] + k
+            state[on], weight = self.step(np.where(fresh[at], start, state[on]), words[at])
+            if k >= 0:
+                out[at] = weight
         return out
 
 
-def score_block(row: dict, answers: dict[int, bytes], n_train: int, n_distinct: int, word_groups: int, bigram_groups: int, mu: float) -> tuple:
-    local = Local(row)
-    bigrams = np.unique(local.keys)
+def numbered(hashes: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total of each hash, the place of one token of each distinct hash), totals in the hashes' order."""
+    order = np.argsort(hashes)
+    first = runs(hashes[order])
+    of = np.empty(len(hashes), np.int64)
+    of[order] = np.repeat(totals, np.diff(first, append=len(hashes)))
+    return of, order[first]
 
-    def totals(first: int, groups: int, hashes: np.ndarray) -> np.ndarray:
-        order, _ = grouped(hashes, groups)
-        got = np.empty(len(hashes), np.int64)
-        got[order] = np.frombuffer(b"".join(answers[first + g] for g in range(groups) if first + g in answers), "<u4")
-        return got
 
-    words, pairs = totals(0, word_groups, local.vocabulary), totals(word_groups, bigram_groups, local.bigram_hashes(bigrams))
+def score_block(row: dict, answers: dict[int, bytes], n_train: int, n_distinct: int, groups: list[int], bits: int, mu: float) -> tuple:
+    local = Local(row, bits)
+    ends = np.cumsum(groups)
+    totals = [np.concatenate([np.zeros(0, np.int64), *(expand(answers[g]).astype(np.int64) for g in range(e - n, e) if g in answers)]) for e, n in zip(ends.tolist(), groups, strict=True)]
+    words = np.empty(len(local.vocabulary), np.int64)
+    words[np.argsort(local.vocabulary)] = totals[0]
+    size = len(words)
     chance = (words + 1) / (n_train + n_distinct + 1)
-    root = np.log10(chance)
-    seen = pairs > 0
-    h, w = np.divmod(bigrams[seen], len(words))
-    automaton = Automaton(bigrams[seen], np.log10((pairs[seen] + mu * chance[w]) / (words[h] + mu)), np.log10(mu / (words + mu)), root)
-    first = np.concatenate([[0], local.ends[:-1]])
-    weights = automaton.read(local.codes, first, local.end_code)
-    add = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has a token at least
-    return local.held, np.diff(local.ends, prepend=0), add((words[local.codes] > 0).astype(np.int64)), add(root[local.codes]), add(weights)
-
-
-def score(docs: DataFrame, of: int = 7, is_: int = 2, mu: float = 100.0) -> DataFrame:
+    root, codes, before = np.log10(chance), local.codes, local.before()
+    (_, pair_hash), (place, triple_hash) = local.ngrams()
+    pairs, at = numbered(pair_hash, totals[1])
+    chance = (pairs + mu * chance[codes]) / (words[before] + mu)  # of each token after the one before it
+    at = at[pairs[at] > 0]
+    keys = before[at] * size + codes[at]
+    order = np.argsort(keys)
+    keys, at = keys[order], at[order]
+    state = np.full(len(codes), -1)  # the bigram that each token ends, if it was seen
+    seen = np.flatnonzero(pairs > 0)
+    state[seen] = size + np.searchsorted(keys, before[seen] * size + codes[seen])
+    triples, last = numbered(triple_hash, totals[2])
+    triples, last = triples[last], place[last]
+    last, triples = last[triples > 0], triples[triples > 0]
+    long_keys = state[last - 1] * size + codes[last]
+    order = np.argsort(long_keys)
+    last, triples, long_keys = last[order], triples[order], long_keys[order]
+    context = pairs[last - 1]
+    automaton = Automaton(
+        np.concatenate([keys, long_keys]),
+        np.log10(np.concatenate([chance[at], (triples + mu * chance[last]) / (context + mu)])),
+        np.concatenate([size + np.arange(len(keys)), state[last]]),
+        np.log10(mu / (np.concatenate([words, pairs[at]]) + mu)),
+        np.concatenate([np.full(size, size + len(keys)), codes[at]]), root,
+    )
+    weights = automaton.read(codes, local.first, local.end_code)
+    add = lambda x: np.add.reduceat(x, local.first)  # noqa: E731  every document has a token at least
+    return local.held, np.diff(local.ends, prepend=0), add((words[codes] > 0).astype(np.int64)), add(root[codes]), add(weights)
+
+
+def score(docs: DataFrame, of: int = 7, is_: int = 2, mu: float = 100.0, block_bytes: int = BLOCK_BYTES, group_entries: int = GROUP_ENTRIES) -> DataFrame:
     """SCORED for every row of docs (doc_id, text); rows with crc32(doc_id) mod ``of`` = ``is_`` aren't learnt from."""
     spark = docs.sparkSession
-    blocks = make_blocks(docs, scratch(spark, "model-blocks"), of, is_)
-    size = blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("train_tokens")).first()
-    word_groups, bigram_groups = (max(1, -(-(size[k] or 0) // GROUP_ENTRIES)) for k in (0, 1))
-    n_train = size[2] or 0
-    answers = stored(answer(ask(blocks, word_groups, bigram_groups), word_groups), "model-answers")
+    blocks = make_blocks(docs, scratch(spark, "model-blocks"), of, is_, block_bytes)
+    size = [n or 0 for n in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("train_tokens")).first()]
+    groups = [max(1, -(-n // group_entries)) for n in (size[0], *[size[1]] * (ORDER - 1))]
+    bits, word_groups = min(64, max(40, size[1].bit_length() + CLASH_BITS)), groups[0]
+    answers = stored(answer(ask(blocks, groups, bits)), "model-answers")
     n_distinct = answers.where(F.col("part") < word_groups).agg(F.sum("n_distinct")).first()[0] or 0
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
     out = arrow_schema(SCORED)
@@ -287,7 +356,7 @@ def score(docs: DataFrame, of: int = 7, is_: int = 2, mu: float = 100.0) -> Data
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 got = {a["part"]: a["totals"] for a in row.pop("answers")}
-                held, n_tokens, n_known, base, full = score_block(row, got, n_train, n_distinct, word_groups, bigram_groups, mu)
-                yield batch(out, row["doc_ids"], held, n_tokens, n_known, np.full(len(held), n_train), base, full)
+                held, n_tokens, n_known, base, full = score_block(row, got, size[2], n_distinct, groups, bits, mu)
+                yield batch(out, row["doc_ids"], held, n_tokens, n_known, np.full(len(held), size[2]), base, full)
 
     return blocks.drop("n_words", "n_tokens", "train_tokens").join(by_block, "block").mapInArrow(run, SCORED)
