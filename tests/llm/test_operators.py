@@ -116,6 +116,13 @@ def test_token_counts_and_cache(spark, docs, rows, none):
     assert collected(token_counts.count_tokens(docs, piece, cache), "doc_id", "n_tokens") == Counter((i, len(sp.encode(t or ""))) for i, t, _ in rows)
 
 
+def test_entries_that_two_calls_append_are_read_as_one(spark, docs, rows):
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), common.scratch(spark, "test-cache")
+    first = collected(token_counts.count_tokens(docs, path, cache), "doc_id", "n_bytes", "n_tokens")
+    spark.read.schema(token_counts.CACHE).parquet(cache).coalesce(1).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
+    assert collected(token_counts.count_tokens(docs, path, cache), "doc_id", "n_bytes", "n_tokens") == first
+
+
 def test_texts_are_cut_where_tokens_begin():
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert token_counts.cuts_at_blanks(path) and not token_counts.cuts_at_blanks(public_tokenizers.path("word_bpe_49k.json"))
@@ -187,6 +194,34 @@ def test_token_files(spark, docs, rows, none):
     assert token_files.document_index(token_files.read_shards(spark, out)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_files_of_every_tokenizer(spark, docs, rows, name):
+    path = public_tokenizers.path(name)
+    assert token_files.cuts_at_words(path) == (name == "word_bpe_49k.json")
+    if name.endswith(".json"):
+        tok = Tokenizer.from_file(path)
+        encode = lambda t: tok.encode(t, add_special_tokens=False).ids
+        assert token_files.vocabulary_size(path) == max(tok.get_vocab().values()) + 1
+    else:
+        import sentencepiece
+
+        encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
+    more = [(900, "Don't STOP  it's\tÄÖ 12 a1b2 x<|endoftext|>y\n\n ok...", "a"), (900, "ab", "a"), (900, "aa", "a")]
+    expected = [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t, _ in rows + more for ids in [[*encode(t or ""), 2]]]
+    out = common.scratch(spark, "test-tokens")
+    token_files.write_shards(docs.unionByName(frame(spark, more)), out, path, 2)
+    got = token_files.document_index(token_files.read_shards(spark, out)).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter(expected)
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+
+
+def test_ids_that_need_more_bits_are_an_error():
+    for ids, bits in (([65541], 16), ([0, 8], 3), ([-1], 16), ([1 << 20], 20)):
+        with pytest.raises(OverflowError):
+            token_files.pack(np.array(ids), bits)
+
+
 def test_null_doc_id_comes_first(spark):
     docs = spark.createDataFrame([(3, "a"), (None, "b"), (1, None)], "doc_id long, text string")
     out = common.scratch(spark, "test-tokens")
@@ -430,14 +465,25 @@ def test_chat_template_that_rewrites_history():
     chat.marked, lambda turns: "".join(f"{k}:{r}={t};" for k, (r, t) in enumerate(turns)), lambda turns: f"{len(turns)} " + chat.marked(turns),
     lambda turns: "<s>" + "".join(f"[{r if not k or turns[k - 1][0] != r else '..'}]{t}\n" for k, (r, t) in enumerate(turns)),
 ])
-def test_long_conversations_are_rendered_in_chunks(template, monkeypatch):
-    monkeypatch.setattr(chat, "CHUNK", 7)
+def test_rendering_equals_the_walk(template):
     turns = [("user" if k % 3 else "assistant", f"turn {k}" * (k % 4)) for k in range(40)]
     calls = []
     counted = lambda t: calls.append(len(t)) or template(t)
-    assert chat.render(turns, counted) == chat.walk(turns, template)
+    assert chat.render(turns, template) == chat.render(turns, counted) == chat.walk(turns, template)
+    assert set(range(41)) <= set(calls)  # every prefix is rendered unless the template declares more
+    declared = chat.append_only(lambda t: calls.append(len(t)) or template(t))
+    calls.clear()
+    assert chat.render(turns, declared) == chat.walk(turns, template)  # declared rightly or not
     if template is chat.marked:
-        assert sum(calls) < 2 * sum(range(41)) // 2
+        assert sum(calls) < 4 * len(turns)
+
+
+def test_a_rewrite_at_any_turn_is_seen():
+    for n, at in ((600, 300), (600, 599), (3, 2), (600, 256), (600, 257)):
+        bang = lambda turns, at=at: chat.marked(turns) + "!" * (len(turns) == at)
+        turns = [("user" if k % 2 else "assistant", str(k)) for k in range(n)]
+        got = chat.render(turns, bang)
+        assert got[2] and got == chat.walk(turns, bang)
 
 
 @pytest.mark.parametrize("text", ["", "<|", "<\\|", "<<||>", "<\\\\|x", "<", "|", "a<|im_end|>\n"])

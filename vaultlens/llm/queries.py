@@ -37,7 +37,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_and_read_tokens(docs: DataFrame) -> DataFrame:
     path = scratch(docs.sparkSession, "token-files")
-    token_files.write_shards(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49408)
+    token_files.write_shards(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.document_index(token_files.read_shards(docs.sparkSession, path))
 
 

@@ -1,11 +1,12 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens) in a
-folder of the caller's choice.  A document is looked up by the SHA-256 of its
+folder of the caller's choice, partitioned by tokenizer_digest.  A document is looked up by the SHA-256 of its
 normalised content and of the tokenizer's version (library release and
 vocabulary file); only distinct contents without an entry are encoded, once
 each, and their counts are appended.  A later call with the same folder encodes
-nothing that it has seen.
+nothing that it has seen.  Two calls at once may both append an entry, which
+say the same: entries of one content are read as one.
 
 Defined cases: null text counts as the empty text; repeated rows and ties share
 one entry and each keep their row; an empty table gives an empty result and
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import arrow_schema, batch
+from vaultlens.llm.common import arrow_schema, batch, stored
 from vaultlens.llm.token_files import word_encoder
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -152,12 +153,14 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def cached(spark, cache: str) -> DataFrame:
+def cached(spark, cache: str, version: str) -> DataFrame:
+    """content_digest, n_tokens: one entry for each content that the version of a tokenizer has counted."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(cache)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(cache)
+        return spark.createDataFrame([], CACHE).drop("tokenizer_digest")
+    entries = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer_digest") == version)
+    return entries.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def encode_misses(texts: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
@@ -182,12 +185,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     """The rows of docs (doc_id, text) as doc_id, n_bytes, n_tokens; fills the cache first."""
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
-    known = cached(spark, cache).where(F.col("tokenizer_digest") == version)
+    known = cached(spark, cache, version)
     content = normalised(F.col("text"))
     texts = docs.select(digest(content).alias("content_digest"), content.alias("content"))
     if not known.isEmpty():
         texts = texts.join(known, "content_digest", "left_anti")
-    encode_misses(texts.dropDuplicates(["content_digest"]), tokenizer_path, version).write.mode("append").parquet(cache)
-    known = cached(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
+    misses = encode_misses(texts.dropDuplicates(["content_digest"]), tokenizer_path, version)
+    misses.write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
+    # stored, so that the join shuffles both sides, which Spark splits where many documents have one content
+    known = stored(cached(spark, cache, version), "token-counts")
     keyed = docs.select("doc_id", F.octet_length(content).cast("long").alias("n_bytes"), digest(content).alias("content_digest"))
     return keyed.join(known, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")

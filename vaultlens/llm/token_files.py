@@ -8,19 +8,22 @@ A shard row holds consecutive documents in ascending doc_id order:
 * ``block_offsets``: the first byte of every block as unsigned 64-bit integers;
 * ``doc_ends``: the running count of ids at the end of each document, likewise.
 
-A block is unpacked by numpy without touching others (``unpack``), so the ids
+The largest id is read from the tokenizer's file; an id that does not fit the
+width is an error.  A block is unpacked by numpy without touching others (``unpack``), so the ids
 ``a`` to ``b`` of a shard need only the blocks that hold them (``read_ids``).
 Shards are rows of a Parquet folder, so that Spark's committer makes the output
 whole even when executors are lost, on any store that Spark writes.
 
 Defined cases: null text is the empty text, which gives the end id alone; a
 null doc_id comes first; repeated doc_ids stay as they are, next to each other
-in the order of their texts; an empty table gives an empty folder and result;
-other columns are not read.
+in the order of their texts (rows of one doc_id are dealt to several tasks by
+the first characters of their texts); an empty table gives an empty folder and
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -42,6 +45,8 @@ SHARD_IDS = 1 << 18
 SLICE = 8 << 20
 #: Rows up to which the shards' starts, 24 bytes each, are broadcast rather than joined by a shuffle.
 MOST_STARTS = 500_000
+#: Characters of texts by which rows of one doc_id are dealt to tasks.
+HEAD = 32
 SHARD = "part int, first_seq int, bits int, n_docs int, n_ids long, doc_ids array<bigint>, doc_ends binary, block_offsets binary, ids binary"
 
 
@@ -50,7 +55,9 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> tuple[bytes, np.ndarray]:
-    """(packed bytes, byte offset of each block)."""
+    """(packed bytes, byte offset of each block); raises if an id needs more bits."""
+    if len(ids) and (int(ids.max()) >> bits or int(ids.min()) < 0):
+        raise OverflowError(f"ids from {ids.min()} to {ids.max()} do not fit in {bits} bits")
     size = (BLOCK * bits + 7) // 8
     n = len(ids)
     if bits == 16:
@@ -200,22 +207,92 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Arr
         yield pa.concat_arrays(texts), pa.concat_arrays(doc_ids)
 
 
+class TextEncoder:
+    """Ids of whole texts as the file's library gives them, for any vocabulary."""
+
+    #: Characters of text given to the library at once.
+    PIECE = 100_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            self.encode = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            import sentencepiece
+
+            tok = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda texts: tok.encode(texts, num_threads=1)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids before each text and at the end)."""
+        rows = [t or "" for t in texts.to_pylist()]
+        ids, length, i = [], [], 0
+        total = np.cumsum([len(t) for t in rows])
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + self.PIECE, side="right")))
+            for got in self.encode(rows[i:j]):
+                ids.append(np.array(got, np.int32))
+                length.append(len(got))
+            i = j
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+
+
+def specification(path: str) -> dict:
+    if not path.endswith(".json"):
+        return {}
+    with open(path) as f:
+        return json.load(f)
+
+
+def cuts_at_words(path: str) -> bool:
+    """Whether the file lower-cases texts, drops white space and cuts between letters and signs, as WordEncoder takes for granted."""
+    spec = specification(path)
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    pattern = (parts[0].get("pattern") or {}).get("Regex", "")
+    cut = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return steps == ["NFC", "Replace", "Lowercase"] and bool(cut) and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of the file's vocabulary."""
+    if path.endswith(".json"):
+        spec = specification(path)
+        return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", ()))])
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+
+
 @lru_cache(maxsize=4)
 def word_encoder(path: str, lead: str = "") -> WordEncoder:
     """The worker's encoder, which keeps its words from task to task."""
     return WordEncoder(path, lead=lead)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int, files: int | None = None) -> None:
-    """Encode the whole texts of docs (doc_id, text) and write shards in ascending doc_id order."""
-    bits, out = bits_for(vocabulary), arrow_schema(SHARD)
+@lru_cache(maxsize=4)
+def encoder_for(path: str) -> WordEncoder | TextEncoder:
+    return word_encoder(path) if cuts_at_words(path) else TextEncoder(path)
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int | None = None, files: int | None = None) -> None:
+    """Encode the whole texts of docs (doc_id, text) and write shards in ascending doc_id order.
+
+    vocabulary: how many ids to make room for, by default what the tokenizer's file has, and end_id.
+    """
+    bits, out = bits_for(vocabulary or max(vocabulary_size(tokenizer_path), end_id + 1)), arrow_schema(SHARD)
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = word_encoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         held, names, ends, n = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -242,7 +319,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
             yield shard()
 
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(files, F.asc_nulls_first("doc_id"), F.substring("text", 1, HEAD))
+    ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     ordered.mapInArrow(encode, spark_type(SHARD)).write.option("compression", "zstd").parquet(path)
 
 
