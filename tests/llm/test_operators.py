@@ -568,10 +568,15 @@ def test_mixing(spark, docs, rows, none):
         left -= sum(3 * sizes[s] for s in full)
         free -= full
     taken = Counter()
+    for r in mixing.plan_mix(docs, packet=1).collect():
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    taken.clear()
     for r in plan:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) and 0 <= r.taken <= 3 * r["size"]
         taken[r.source] += r.taken
-    assert len(plan) == len(rows) and all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert len(plan) == len(rows) and all(abs(taken[s] - target[s]) <= mixing.PACKET for s in order)
+    assert sum(taken.values()) == sum(sizes.values())
     same = lambda p: Counter((r.doc_id, r["size"], r.taken) for r in p)
     assert same(plan) == same(mixing.plan_mix(docs.repartition(7)).collect())
     mixed = mixing.schedule(docs)
@@ -579,6 +584,47 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.plan_mix(none).count() == 0 and mixing.schedule(none).count() == 0
 
 
+def served_in_turn(rows, share, packet):
+    """taken by (doc_id, size): one queue for each source, the packet with the earliest virtual finish first."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    queues = defaultdict(list)
+    for k in sorted(range(len(rows)), key=lambda k: (hashlib.md5(f"mix:{'' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest(), rows[k][0] is not None, rows[k][0] or 0, size[k])):
+        queues[rows[k][2]] += [(k, min(packet, size[k] - x)) for x in range(0, size[k], packet)]
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    waiting, done = {s: queues[s] * 3 for s in order}, Counter()
+    taken, budget = [0] * len(rows), math.floor(sum(size) * share)
+    while budget and any(waiting.values()):
+        s = min((s for s in order if waiting[s]), key=lambda s: ((done[s] + waiting[s][0][1]) * 6 // (order.index(s) % 3 + 1), order.index(s)))
+        k, n = waiting[s].pop(0)
+        taken[k] += min(n, budget)
+        done[s] += n
+        budget -= min(n, budget)
+    return Counter((r[0], r[2], n, x) for r, n, x in zip(rows, size, taken, strict=True))
+
+
+@pytest.mark.parametrize(("share", "packet", "few", "ranges"), [(1.0, 256, 10_000, 10_000), (0.4, 7, 1, 3), (2.9, 50, 5, 10), (5.0, 256, 10, 10), (0.0, 256, 10, 10), (1.0, 10**6, 1, 2)])
+def test_mix_is_served_in_order_of_virtual_finish(spark, rows, monkeypatch, share, packet, few, ranges):
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    more = rows + [(None, "null id", "a"), (None, "null id", "a"), (None, "other text of a null id", None), (6, "one id twice", "b")]
+    got = collected(mixing.plan_mix(frame(spark, more), share, packet=packet), "doc_id", "source", "size", "taken")
+    assert got == served_in_turn(more, share, packet)
+
+
+def test_schedule_tells_rows_of_one_doc_id_apart(spark):
+    text = lambda n: "w " * n
+    rows = [(None, text(520), "a"), (None, text(60), "b"), (None, text(20), "c"), (7, text(40), "a"), (7, text(41), "a"), (8, text(30), "b"), (8, text(30), "b"), (8, text(30), "b")]
+    docs = frame(spark, rows).selectExpr("*", "1 as _copy", "2 as _copies", "3 as _mix_id", "'x' as MIX_ID", "named_struct('a', 1) as mix_copies")
+    plan = mixing.plan_mix(docs).collect()
+    expected = defaultdict(int)
+    for r in plan:
+        expected[r.doc_id, r.source, r["size"]] += r.taken
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.schedule(docs).collect())
+    assert {k: n for k, n in got.items()} == {k: c for k, x in expected.items() if (c := math.floor(x / k[2] + 0.5))}
+    out = mixing.schedule(docs)
+    assert out.columns == docs.columns and set(out.select("_copy", "_copies", "_mix_id", "MIX_ID", "mix_copies.a").distinct().collect()) == {(1, 2, 3, "x", 1)}
+
+
 def test_capped_sources_share_their_excess(spark):
     docs = frame(spark, [(k, "w " * 100, "a") for k in range(10)] + [(20, "w " * 10, "b"), (21, "w " * 10, "c")])
     got = {r.source: r.target for r in mixing.plan_mix(docs).collect()}

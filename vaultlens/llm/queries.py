@@ -107,17 +107,21 @@ levels AS (
 cuts AS (
   SELECT *, max(level) OVER () AS cut FROM levels),
 targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, cut * weight) AS target FROM cuts),
+  SELECT source, source_size, weight, least(cap::DOUBLE, cut * weight) AS target FROM cuts),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT row_number() OVER () AS row, s.doc_id, s.source, s.size, t.source_size, t.target, t.weight,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.doc_id, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target) - start))
-        + greatest(0, least(size, floor(target) - source_size - start))
-        + greatest(0, least(size, floor(target) - 2 * source_size - start)))::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+packets AS (
+  SELECT row, source, (turn * source_size + start + least(size, (k + 1) * 256)) * 6 // weight AS finish, least(size - k * 256, 256) AS words
+  FROM (SELECT *, unnest(range((size + 255) // 256)) AS k FROM placed), range(3) passes(turn)),
+served AS (
+  SELECT row, greatest(0, least(words, (SELECT sum(size) FROM placed) - coalesce(sum(words) OVER queue, 0))) AS words
+  FROM packets WINDOW queue AS (ORDER BY finish, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+taken AS (
+  SELECT row, sum(words)::BIGINT AS taken FROM served GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (row)
 """
 
 
