@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.llm.conftest import frame
+from tests.llm.conftest import frame, prose
 from vaultlens.llm import chat, common, decontamination, fingerprints, language_model, mixing, near_duplicates, quality, suffix_dedup, token_counts, token_files
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -32,8 +34,10 @@ def collected(df, *columns):
 # 1 suffix dedup
 
 
-@pytest.mark.parametrize("anchor_bytes", [suffix_dedup.ANCHOR_BYTES, 0, 1500])
-def test_suffix_dedup(docs, rows, anchor_bytes):
+@pytest.mark.parametrize(("anchor_bytes", "most_hot", "group_windows"), [(suffix_dedup.ANCHOR_BYTES, 20_000, 100_000), (0, 20_000, 50), (1500, 3, 7), (0, 1, 1)])
+def test_suffix_dedup(docs, rows, anchor_bytes, most_hot, group_windows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_HOT", most_hot)
+    monkeypatch.setattr(suffix_dedup, "GROUP_WINDOWS", group_windows)
     texts = [(t or "").encode() for _, t, _ in rows]
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     expected = Counter()
@@ -47,6 +51,26 @@ def test_suffix_dedup(docs, rows, anchor_bytes):
     assert collected(suffix_dedup.remove_repeats(docs, anchor_bytes), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+def test_equal_rows_cost_no_more_than_other_rows(spark):
+    text = prose(random.Random(7), 90)
+    rows = [(None, text, "a")] * 1500 + [(1, text, "a")] * 500 + [(2, text[:50] + " and then " + text[40:], "a"), (3, "short", "a")]
+    start = time.perf_counter()
+    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(4)).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert time.perf_counter() - start < 60
+    n = len(text.encode())
+    by = {r.doc_id: (r.n_removed, r.n_spans, r["count"]) for r in got}
+    assert by[None] == (n, 1, 1500) and by[1] == (n, 1, 500) and by[3] == (0, 0, 1) and by[2][0] >= n - 60 and len(got) == 4
+
+
+@pytest.mark.parametrize("shard", [3, 50, 10**6])
+def test_equal_windows(shard):
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 40, 300):
+        blocks = rng.integers(0, 3, (n, suffix_dedup.DEPTH)).astype(np.uint64)
+        seen = Counter(map(tuple, blocks.tolist()))
+        assert suffix_dedup.equal_windows(blocks, shard).tolist() == [seen[tuple(b)] > 1 for b in blocks.tolist()]
+
+
 def test_suffix_dedup_empty(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
@@ -86,11 +110,12 @@ def test_an_anchor_over_many_batches_is_merged_at_once(spark, monkeypatch, group
             if twice:
                 expected[(row, 7 + len(before), 7 + len(before) + 200)] += 1
             row += 1
-    df = spark.createDataFrame(contents, "anchor long, row long, start long, n long, content binary").coalesce(1).sortWithinPartitions("anchor", "row")
+    contents = [(a, bytearray(str(row).encode()), *rest) for a, row, *rest in contents]
+    df = spark.createDataFrame(contents, "anchor long, row binary, start long, n long, content binary").coalesce(1).sortWithinPartitions("anchor", "row")
     old = spark.conf.get(key)
     spark.conf.set(key, str(rows_at_once))
     try:
-        assert collected(suffix_dedup.merge_fragments(df), "row", "start", "end") == expected
+        assert collected(suffix_dedup.merge_fragments(df).withColumn("row", F.col("row").cast("string").cast("long")), "row", "start", "end") == expected
     finally:
         spark.conf.set(key, old)
 

@@ -20,6 +20,15 @@ After k rounds rows are in order of their first k blocks, and rows between
 which no bucket or older boundary lies share them: their common prefix is k
 blocks at least.  Rows of an interval that shares DEPTH blocks are repeats.
 
+An anchor whose distinct fragments outgrow a task is merged by several: its
+windows, as strings of DEPTH blocks, are dealt out by these blocks, so that
+each task gets shards of a range of the suffixes and merges them alike.
+
+Texts are known by their MD5 digest, so equal rows are one text with several
+occurrences, whose spans are worked out once.  Anchors and fragments that hold
+more than 1 / MOST_HOT of all occurrences, of which there can be no more than
+MOST_HOT, are joined by a broadcast, so that no task gets all of a frequent one.
+
 Defined cases: null text is the empty text; texts shorter than LENGTH keep all
 bytes; repeated rows are repeats of each other and each have a row; an empty
 table gives an empty result; other columns are not read.
@@ -47,6 +56,11 @@ GROUP_BYTES = 1_000_000
 SHARD_BYTES = 250_000
 #: Bytes of an anchor's distinct fragments up to which one task merges them.
 ANCHOR_BYTES = 4_000_000
+#: Windows of larger anchors that a task merges at once and that a shard has.
+GROUP_WINDOWS = 100_000
+SHARD_WINDOWS = 25_000
+#: Keys that may be broadcast because each holds more than this share of all occurrences.
+MOST_HOT = 20_000
 
 
 def fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,17 +98,32 @@ def fragments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     doc = np.searchsorted(offsets, start, side="right") - 1
     end = np.minimum(np.append(start[1:], len(place)), offsets[doc + 1] - LENGTH + 1)
     anchor = place[start]
-    return common.substring_hash(prefix, anchor, anchor + ANCHOR), common.substring_hash(prefix, start, end + LENGTH - 1), doc, start - offsets[doc], end - start
+    return common.span_hash(data, anchor, anchor + ANCHOR), common.span_hash(data, start, end + LENGTH - 1), doc, start - offsets[doc], end - start
+
+
+def block_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the UNIT bytes from each place on, as long as there are so many."""
+    n = len(data) - UNIT + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    lane = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        lane[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
+    lane = common.mix64(lane)
+    out = np.zeros(n, np.uint64)
+    for k, at in enumerate([*range(0, UNIT - 8, 8), UNIT - 8]):
+        out += lane[at : at + n] * common.powers(k + 2)[0][k + 1]
+    return common.mix64(out)
 
 
 class Shard:
     """The suffixes of some fragments' block strings in order, with their Burrows-Wheeler transform."""
 
-    def __init__(self, code: np.ndarray, first: np.ndarray, length: np.ndarray):
-        """code: the block that begins at each byte and the one row past the end, 0 where none does."""
+    def __init__(self, code: np.ndarray, first: np.ndarray, length: np.ndarray, unit: int = UNIT):
+        """code: the block that begins at each place and the one row past the end, 0 where none does; unit: places of a block."""
         n = len(code)
         end = np.repeat(first + length, length + 1)
-        rank, reach = code.astype(np.int64), UNIT
+        rank, reach = code.astype(np.int64), unit
         at = np.arange(n)
         while True:
             # a suffix beyond its fragment is empty; equal suffixes stay in order of their place
@@ -109,7 +138,7 @@ class Shard:
             new[order] = np.cumsum(changed)
             rank, reach = new, 2 * reach
         begin = np.repeat(first, length + 1)
-        before = np.where(at - UNIT >= begin, code[np.maximum(at - UNIT, 0)], 0)
+        before = np.where(at - unit >= begin, code[np.maximum(at - unit, 0)], 0)
         self.suffixes, self.transform, self.empty = order, before[order], int(np.count_nonzero(code == 0))
 
 
@@ -137,14 +166,15 @@ def interleave(shards: list[Shard], depth: int = DEPTH) -> tuple[np.ndarray, np.
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """For each byte, whether a window that another place has too begins at it within its fragment."""
     n = len(data)
-    prefix = common.prefix_hash(data)
     size = np.diff(offsets)
     at = np.arange(n + len(size)) - np.repeat(np.arange(len(size)), size + 1)  # a row more for each fragment
     ends = np.repeat(offsets[1:], size + 1)
     full = at + UNIT <= ends
     code = np.zeros(len(at), np.int64)
-    _, code[full] = np.unique(common.substring_hash(prefix, at[full], at[full] + UNIT), return_inverse=True)
-    code[full] += 1
+    if full.any():
+        byte = np.arange(len(at)) - np.repeat(np.arange(len(size)), size + 1)
+        _, code[full] = np.unique(block_hashes(data)[byte[full]], return_inverse=True)
+        code[full] += 1
     rows = offsets + np.arange(len(offsets))
     cut = np.searchsorted(offsets, np.arange(0, n, shard_bytes), side="left")
     bounds = np.unique(np.append(cut, len(size)))
@@ -160,8 +190,23 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, shard_bytes: int = S
     return out[at != ends]
 
 
-OCCURRENCE = "anchor long, print long, row long, start long, windows int"
-SPAN = "row long, start long, end long"
+def equal_windows(blocks: np.ndarray, shard_windows: int = SHARD_WINDOWS) -> np.ndarray:
+    """For each row of DEPTH block hashes, whether another row has the same."""
+    n = len(blocks)
+    code = np.zeros((n, DEPTH + 1), np.int64)
+    code[:, :DEPTH] = np.unique(blocks, return_inverse=True)[1].reshape(n, DEPTH) + 1
+    cut = [*range(0, n, shard_windows), n]
+    shards = [Shard(code[i:j].ravel(), np.arange(j - i) * (DEPTH + 1), np.full(j - i, DEPTH), 1) for i, j in zip(cut, cut[1:], strict=False)]
+    which, same = interleave(shards)
+    order = np.empty(n * (DEPTH + 1), np.int64)
+    order[np.argsort(which, kind="stable")] = np.concatenate([s.suffixes + i * (DEPTH + 1) for s, i in zip(shards, cut, strict=False)])
+    out = np.zeros(len(order), bool)
+    out[order] = same | np.append(same[1:], False)
+    return out[:: DEPTH + 1]
+
+
+OCCURRENCE = "anchor long, print long, row binary, start long, windows int"
+SPAN = "row binary, start long, end long"
 
 
 def occurrences(keyed: DataFrame) -> DataFrame:
@@ -170,35 +215,67 @@ def occurrences(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row = b.column("row").to_numpy()
-            for i, j, data, off in common.chunks(b.column("text"), 1 << 19):
+            for i, _, data, off in common.chunks(b.column("text"), 1 << 19):
                 anchor, mark, doc, start, windows = fragments(data, off)
-                yield batch(out, anchor.astype(np.int64), mark.astype(np.int64), row[i:j][doc], start, windows.astype(np.int32))
+                yield batch(out, anchor.astype(np.int64), mark.astype(np.int64), b.column("row").take(pa.array(doc + i)), start, windows.astype(np.int32))
 
     return keyed.select("row", "text").mapInArrow(run, OCCURRENCE)
 
 
-def repeated_by_hash(contents: DataFrame) -> DataFrame:
-    """SPAN: the repeats among contents (row, start, n, content) of frequent anchors, for those with n = 1, window by window."""
-    schema = "row long, start long, n long, window long"
-    out = arrow_schema(schema)
+def having(found: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The rows of found, total in all, whose key is among keys (on, n); n: how many rows of found have it."""
+    hot = F.col("n") * MOST_HOT > total
+    frequent = F.broadcast(keys.where(hot).select(*on))
+    rest = found.join(frequent, on, "left_anti").join(keys.where(~hot).select(*on), on, "left_semi")
+    return found.join(frequent, on, "left_semi").unionByName(rest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+WINDOW = "row binary, start long, n long, " + ", ".join(f"b{k} long" for k in range(DEPTH))
+
+
+def merge_windows(contents: DataFrame) -> DataFrame:
+    """SPAN: the repeats among contents (row, start, n, content) of large anchors, for those with n = 1."""
+    schema, blocks = arrow_schema(WINDOW), [f"b{k}" for k in range(DEPTH)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, off in common.chunks(b.column("content"), 1 << 19):
-                prefix, windows = common.prefix_hash(data), np.diff(off) - LENGTH + 1
+            for i, j, data, off in common.chunks(b.column("content"), 1 << 18):
+                hashes, windows = block_hashes(data).astype(np.int64), np.diff(off) - LENGTH + 1
                 which = np.repeat(np.arange(j - i), windows)
                 place = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-                at = off[which] + place
-                part = b.slice(i, j - i)
-                row, start, n = (part.column(c).to_numpy()[which] for c in ("row", "start", "n"))
-                yield batch(out, row, start + place, n, common.substring_hash(prefix, at, at + LENGTH).astype(np.int64))
+                at, of = off[which] + place, pa.array(which + i)
+                start = b.column("start").take(of).to_numpy() + place
+                yield batch(schema, b.column("row").take(of), start, b.column("n").take(of), *(hashes[at + k * UNIT] for k in range(DEPTH)))
 
-    windows = contents.select("row", "start", "n", "content").mapInArrow(run, schema)
-    windows = stored(windows, "windows")
-    twice = stored(windows.groupBy("window").agg(F.count("*").alias("places")).where("places > 1").select("window"), "frequent-windows")
-    hit = windows.where("n = 1").join(twice, "window")
-    return hit.select("row", "start", (F.col("start") + LENGTH).alias("end"))
+    out = arrow_schema(SPAN)
+
+    def merge(held: list[pa.RecordBatch], known: bool, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch, bool]:
+        """(spans decided, the last row, which is not yet unless last, whether it is known to repeat); known: so of the first row."""
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        hit = equal_windows(np.stack([t.column(c).to_numpy().view(np.uint64) for c in blocks], axis=1))
+        hit[0] |= known
+        tail, known = t.slice(t.num_rows - 1), bool(hit[-1])
+        take = np.flatnonzero((hit if last else np.append(hit[:-1], False)) & (t.column("n").to_numpy() == 1))
+        start = t.column("start").to_numpy()[take]
+        return batch(out, t.column("row").take(pa.array(take)), start, start + LENGTH), tail, known
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, known = [], 0, False
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= GROUP_WINDOWS:
+                # equal windows come one after another; the last row waits for what follows it
+                spans, tail, known = merge(held, known, False)
+                yield spans
+                held, size = [tail], 1
+        if held:
+            yield merge(held, known, True)[0]
+
+    n = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = contents.select("row", "start", "n", "content").mapInArrow(cut, WINDOW)
+    return windows.repartition(n, *blocks).sortWithinPartitions(*blocks).mapInArrow(run, SPAN)
 
 
 def merge_fragments(contents: DataFrame) -> DataFrame:
@@ -215,7 +292,7 @@ def merge_fragments(contents: DataFrame) -> DataFrame:
         last = np.flatnonzero(hit & ~(np.append(hit[1:], False) & (np.append(frag[1:], -1) == frag)))
         f = frag[first]
         base = t.column("start").to_numpy()[f] - off[f]
-        return batch(out, t.column("row").to_numpy()[f], base + first, base + last + LENGTH)
+        return batch(out, t.column("row").combine_chunks().take(pa.array(f)), base + first, base + last + LENGTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0  # of whole anchors
@@ -292,20 +369,21 @@ def remove(spanned: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """RESULT for every row of docs (doc_id, text)."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = stored(occurrences(keyed), "fragments")
-    # stored, so that the joins below shuffle both sides, which Spark splits where an anchor is frequent
-    often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "frequent-anchors")
-    every, found = found, stored(found.join(often, "anchor"), "repeated-anchors")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.unhex(F.md5(text)).alias("row"), "doc_id", text.alias("text"))
+    every = stored(occurrences(keyed), "fragments")
+    # stored, so that the joins below shuffle both sides, which Spark splits where a key is frequent
+    often = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "frequent-anchors")
+    found = stored(having(every, often, ["anchor"], every.count()), "repeated-anchors")
     discard(every, often)
     prints = stored(found.groupBy("anchor", "print").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "windows")).alias("at")), "prints")
-    whole = found.join(prints.where("n > 1").select("anchor", "print"), ["anchor", "print"])
+    whole = having(found, prints.where("n > 1"), ["anchor", "print"], found.count())
     whole = whole.select("row", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))
     size = F.sum(F.col("at.windows") + (LENGTH - 1))
     several = prints.groupBy("anchor").agg(F.count("*").alias("prints"), (size > anchor_bytes).alias("large")).where("prints > 1").select("anchor", "large")
     several = stored(several, "varied-anchors")
     wanted = prints.join(several, "anchor").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("anchor", "large", "n", "at.start", "at.windows")).alias("wanted"))
-    schema = "anchor long, large boolean, row long, start long, n long, content binary"
+    schema = "anchor long, large boolean, row binary, start long, n long, content binary"
     out = arrow_schema(schema)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,12 +396,11 @@ def remove_repeats(docs: DataFrame, anchor_bytes: int = ANCHOR_BYTES) -> DataFra
                 yield batch(out, *zip(*rows, strict=True))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    contents = keyed.join(wanted, "row").select("row", "doc_id", "text", "wanted").mapInArrow(take, schema)
-    if several.where("large").isEmpty():
-        edges = merge_fragments(contents.drop("large").repartition(n, "anchor").sortWithinPartitions("anchor"))
-    else:
-        contents = stored(contents, "fragment-texts")
-        edges = merge_fragments(contents.where("not large").drop("large").repartition(n, "anchor").sortWithinPartitions("anchor"))
-        edges = edges.unionByName(repeated_by_hash(contents.where("large")))
-    spans = whole.unionByName(edges).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    texts = keyed.groupBy("row").agg(F.first("text").alias("text"))  # of equal rows, one
+    contents = stored(texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(take, schema), "fragment-texts")
+    edges = merge_fragments(contents.where("not large").drop("large").repartition(n, "anchor").sortWithinPartitions("anchor"))
+    edges = edges.unionByName(merge_windows(contents.where("large")))
+    spans = whole.unionByName(edges).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = stored(spans, "spans")  # equal rows are many on the other side of the join
+    discard(found, prints, several, contents)
     return remove(keyed.join(spans, "row", "left").select("row", "doc_id", "text", "spans"))
