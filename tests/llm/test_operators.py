@@ -193,6 +193,56 @@ def test_quality(spark, docs, rows, none):
     assert quality.features(docs).count() == len(rows)
 
 
+def dense_scores(x, y, fold, size=256, width=4.0, ridge=1e-4):
+    """The scores of x by a least-squares fit of all rows with a label y at once, calibrated by the minimax formula."""
+    known = [k for k, v in enumerate(y) if v is not None]
+    rng, d = np.random.default_rng(11), x.shape[1]
+    projection, phase = rng.normal(size=(d, size)) / width, rng.uniform(0, 2 * np.pi, size)
+    mean, scale = x[known].mean(0), np.maximum(x[known].std(0), 1e-6)
+    z = np.clip((x - mean) / scale, -8, 8)
+    z = np.hstack([math.sqrt(2 / size) * np.cos(z @ projection + phase), z, np.ones((len(x), 1))])
+
+    def ridge_fit(rows):
+        more = math.sqrt(ridge * max(1.0, len(rows))) * np.eye(z.shape[1])
+        return np.linalg.lstsq(np.vstack([z[rows], more]), np.concatenate([[y[k] for k in rows], np.zeros(z.shape[1])]), rcond=None)[0]
+
+    bins, n = defaultdict(list), 4000
+    for f in range(4):
+        w = ridge_fit([k for k in known if fold[k] != f])
+        for k in known:
+            if fold[k] == f:
+                bins[min(n - 1, max(0, int((z[k] @ w + 0.5) / 2 * n)))].append(y[k])
+    used = sorted(bins)
+    total, weight = np.cumsum([0, *(sum(bins[b]) for b in used)]), np.cumsum([0, *(len(bins[b]) for b in used)])
+    mean_of = lambda a, b: (total[b + 1] - total[a]) / (weight[b + 1] - weight[a])
+    levels = [max(min(mean_of(a, b) for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
+    raw = z @ ridge_fit(known)
+    return np.clip(0.999 * np.interp(raw, [(b + 0.5) / n * 2 - 0.5 for b in used], levels) + 0.001 * np.clip(raw, 0, 1), 0, 1)
+
+
+def test_quality_equals_a_dense_fit(spark):
+    rng = random.Random(3)
+    table = frame(spark, [(k, " ".join(["$$$", "!!", "%"][k % 3] if rng.random() < (k % 5) / 8 else w for w in prose(rng, rng.randint(3, 60)).split()), "a") for k in range(160)] + [(500, "", "a")])
+    labels = spark.createDataFrame([(k, int(k % 5 < 2 + (k % 7 == 0))) for k in range(160)], "doc_id long, quality int")
+    stats = common.stored(quality.features(table), "test-stats")
+    model = quality.fit(quality.training_rows(stats, labels))
+    rows = stats.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(4))).orderBy("doc_id").collect()
+    y = [None if r.doc_id == 500 or zlib.crc32(str(r.doc_id).encode()) % 5 == 0 else float(r.doc_id % 5 < 2 + (r.doc_id % 7 == 0)) for r in rows]
+    expected = dense_scores(np.array([r.stats for r in rows]), y, [r.fold for r in rows])
+    got = {r.doc_id: r.score for r in quality.score_features(stats, model).collect()}
+    assert np.allclose([got[r.doc_id] for r in rows], expected, atol=1e-6) and 0.1 < np.std(expected)
+
+
+def test_statistics_of_plain_counts():
+    text = "The cat cat sat!\n\nÄÖ 12 $$ | the end.\nThe end."
+    row = dict(zip(quality.NAMES, quality.statistics(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0], strict=True))
+    said = text.split()
+    assert row["bytes"] == pytest.approx(math.log1p(len(text.encode()))) and row["words"] == pytest.approx(math.log1p(len(said)))
+    assert row["distinct_words"] == pytest.approx(len(set(said)) / len(said)) and row["top_run"] == pytest.approx(1 / len(said))
+    assert row["digit"] == pytest.approx(2 / len(text)) and row["short_words"] == pytest.approx(sum(len(w.encode()) <= 3 for w in said) / len(said))
+    assert row["distinct_lines"] == 1 and row["line_words"] == pytest.approx(math.log1p(len(said) / 3))
+
+
 def test_isotonic():
     level = quality.isotonic(np.array([1, 1, 1, 2.0]), np.array([0, 1, 0, 2.0]))
     assert level.tolist() == [0, 0.5, 0.5, 1]
@@ -436,6 +486,70 @@ def test_fingerprints(docs, rows, none, spark):
     assert alone.near_next == 1
 
 
+def plain_signature(text, size, most):
+    mask, out, at = (1 << 64) - 1, "", 0
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    step = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def piece(a, b):
+        value = sum((text[j] + 1) * pow(step, j - a, 1 << 64) for j in range(a, b)) + (b - a) * 0xA24BAED4963EE407 & mask
+        for _ in range(2):
+            value = (value ^ value >> 32) * 0xD6E8FEB86659FD93 & mask
+        return alphabet[(value ^ value >> 32) & 63]
+
+    for i in range(len(text)):
+        h = sum((text[i - k] + 1) * pow(0x01000193, k + 1, 1 << 32) for k in range(7) if i >= k) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        if (h ^ h >> 13) % size == size - 1 and len(out) < most - 1:
+            out, at = out + piece(at, i + 1), i + 1
+    return out + piece(at, len(text)) if at < len(text) else out
+
+
+def plain_fingerprint(text):
+    size = 3
+    while size * 64 < len(text):
+        size *= 2
+    while len(one := plain_signature(text, size, 64)) < 32 and size > 3:
+        size //= 2
+    return f"{size}:{one}:{plain_signature(text, 2 * size, 64)}"
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    (a, *one), (b, *two) = x.split(":"), y.split(":")
+    best = 0.0
+    for p, s in enumerate(one):
+        for q, t in enumerate(two):
+            if s and t and int(a) << p == int(b) << q:
+                k = max(1, min(7, min(len(s), len(t)) // 2))
+                if any(s[i : i + k] in t for i in range(len(s) - k + 1)):
+                    row = list(range(len(t) + 1))  # insertions and deletions
+                    for i, c in enumerate(s):
+                        last, row[0] = row[0], i + 1
+                        for j, e in enumerate(t):
+                            last, row[j + 1] = row[j + 1], last if c == e else 1 + min(row[j], row[j + 1])
+                    best = max(best, 1 - row[-1] / (len(s) + len(t)))
+    return best
+
+
+def test_fingerprints_equal_plain_loops(spark):
+    rng = random.Random(4)
+    base = prose(rng, 150)
+    texts = ["", "a", "abcdefg", "x" * 400, base, base[:400] + "!" + base[400:], base[300:] + base[:300], prose(rng, 40), prose(rng, 400), "ab" * 500, "é" * 70, base + base, base[:200]]
+    texts += [base[: rng.randint(0, 600)] + prose(rng, rng.randint(0, 30)) for _ in range(8)]
+    rows, expected = [(k, t, "a") for k, t in enumerate(texts)], []
+    after = [texts[-1], *texts[:-1]]  # the next lower doc_id; the last comes after the first
+    for (k, t, _), x in zip(rows, after, strict=True):
+        half = len(t) // 2
+        own, edited, following = (plain_fingerprint(s.encode()) for s in (t, t[: len(t) - half] + x[:half], x))
+        expected.append((k, own, edited, plain_likeness(own, edited), plain_likeness(own, following)))
+    got = sorted((r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.neighbours(frame(spark, rows)).collect())
+    for g, e in zip(got, expected, strict=True):
+        assert g[:3] == e[:3] and g[3:] == pytest.approx(e[3:])
+    assert len({round(e[3], 2) for e in expected}) > 5
+
+
 def subsequence(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

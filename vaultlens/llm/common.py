@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a worker; a longer document is handled alone, whole.
 CHUNK_BYTES = 4 << 20
@@ -77,6 +78,12 @@ def anonymous(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*(f"c{k}" for k in range(len(lower)))), [f"c{k}" for k in places]
 
 
+def picked(docs: DataFrame, *wanted: str) -> DataFrame:
+    """The wanted columns alone, whatever others there are."""
+    own, names = anonymous(docs, *wanted)
+    return own.select(*(F.col(n).alias(w) for n, w in zip(names, wanted, strict=True)))
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, null as empty; offsets has one more entry than rows."""
     if isinstance(col, pa.ChunkedArray):

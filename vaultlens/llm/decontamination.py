@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import ALNUM, arrow_schema, batch, expand, scratch, spark_type, squeeze, stored
+from vaultlens.llm.common import ALNUM, arrow_schema, batch, expand, picked, scratch, spark_type, squeeze, stored
 
 INDEX = "shard long, doc_ids array<{kind}>, doc_starts binary, terms binary, counts binary, gaps binary"
 HIT = "shard long, doc int, items array<string>, spans array<struct<start:int,end:int>>"
@@ -83,7 +83,7 @@ class Queries:
 
 def query_blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Queries]:
     """The items (item_id, text) in blocks of about block_words words, one at a time on the driver."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = picked(items, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (block_words * 6)))
     for k in range(n):
@@ -245,7 +245,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
 
     Every row has its own result, however many blocks of queries there are.
     """
-    index, hits = build_index(docs, scratch(docs.sparkSession, "postings")), None
+    index, hits = build_index(picked(docs, "doc_id", "text"), scratch(docs.sparkSession, "postings")), None
     for queries in query_blocks(items, window, block_words):
         part = stored(search(index, queries, slop), "hits")
         hits = part if hits is None else hits.unionByName(part)

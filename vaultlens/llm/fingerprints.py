@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import arrow_schema, batch, spark_type, stored
+from vaultlens.llm.common import arrow_schema, batch, picked, spark_type, stored
 
 LENGTH = 64
 ROLL = 7
@@ -166,7 +166,7 @@ def neighbours(docs: DataFrame, files: int | None = None) -> DataFrame:
             yield edge("last", last)
 
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = picked(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(files, F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
     rows = stored(rows.mapInArrow(run, spark_type(HELD)), "fingerprints")
     columns = PRINT.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, expand, scratch, spark_type, squeeze, stored
+from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, expand, picked, scratch, spark_type, squeeze, stored
 
 ORDER = 3
 BLOCK_BYTES = 6 << 20
@@ -342,7 +342,7 @@ def score_block(row: dict, answers: dict[int, bytes], n_train: int, n_distinct:
 def score(docs: DataFrame, of: int = 7, is_: int = 2, mu: float = 100.0, block_bytes: int = BLOCK_BYTES, group_entries: int = GROUP_ENTRIES) -> DataFrame:
     """SCORED for every row of docs (doc_id, text); rows with crc32(doc_id) mod ``of`` = ``is_`` aren't learnt from."""
     spark = docs.sparkSession
-    blocks = make_blocks(docs, scratch(spark, "model-blocks"), of, is_, block_bytes)
+    blocks = make_blocks(picked(docs, "doc_id", "text"), scratch(spark, "model-blocks"), of, is_, block_bytes)
     size = [n or 0 for n in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("train_tokens")).first()]
     groups = [max(1, -(-n // group_entries)) for n in (size[0], *[size[1]] * (ORDER - 1))]
     bits, word_groups = min(64, max(40, size[1].bit_length() + CLASH_BITS)), groups[0]

@@ -36,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import anonymous, stored
+from vaultlens.llm.common import anonymous, picked, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 PACKET = 256
@@ -124,7 +124,7 @@ def plan_mix(docs: DataFrame, share: float = 1.0, max_repeats: int = 3, cycle: i
     In order of the first pass's virtual finish.  taken counts the words served
     in all passes.
     """
-    sized = docs.select("doc_id", "source", *also, word_count(F.col("text")).alias("size"))
+    sized = picked(docs, "doc_id", "source", "text", *also).select("doc_id", "source", *also, word_count(F.col("text")).alias("size"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = stored(sized.withColumn("place", order), "mix-sizes")
     targets = stored(source_targets(sized, share, max_repeats, cycle), "mix-targets")

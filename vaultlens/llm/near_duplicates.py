@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, discard, stored
+from vaultlens.llm.common import NOT_BLANK, arrow_schema, batch, discard, picked, stored
 
 SHINGLE = 5
 BINS = 128
@@ -277,6 +277,7 @@ def link_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    docs = picked(docs, "doc_id", "text")
     made = stored(sketches(docs), "sketches")
     key = ["digest_a", "digest_b", "n_shingles"]
     classes = made.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("parts").alias("parts"))

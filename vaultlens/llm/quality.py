@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import arrow_schema, batch
+from vaultlens.llm.common import arrow_schema, batch, picked
 
 MOST_ROWS = 200_000
 FOLDS = 4
@@ -66,7 +66,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     chars = np.maximum(count.sum(1) - count[:, REST], 1)
     letters = np.maximum(count[:, LOWER] + count[:, UPPER] + count[:, WIDE], 1)
     starts, ends, doc = common.words(data, offsets, common.NOT_BLANK)
-    prefix = common.prefix_hash(data)
     n_words = np.bincount(doc, minlength=n)
     per = np.maximum(n_words, 1)
     length = (ends - starts).astype(float)
@@ -74,12 +73,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     spread = np.sqrt(np.maximum(np.bincount(doc, length**2, n) / per - mean**2, 0))
     last = kind[ends - 1] if len(ends) else kind[:0]
     odd = np.bincount(doc, np.isin(last, (SHOUT, BAR, SYMBOL)), n) / per
-    word = common.substring_hash(prefix, starts, ends)
+    word = common.span_hash(data, starts, ends)
     unlined = np.ones(256, bool)
     unlined[10] = False
     a, b, line_doc = common.words(data, offsets, unlined)
     n_lines = np.maximum(np.bincount(line_doc, minlength=n), 1)
-    distinct_lines = distinct_per_row(line_doc, common.substring_hash(prefix, a, b), n) / n_lines
+    distinct_lines = distinct_per_row(line_doc, common.span_hash(data, a, b), n) / n_lines
     same = np.zeros(len(word), bool)
     if len(word):
         same[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
@@ -106,7 +105,7 @@ def features(docs: DataFrame) -> DataFrame:
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield batch(out, b.column("doc_id").slice(i, j - i).cast(pa.int64()), rows.cast(out.field("stats").type))
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    return picked(docs, "doc_id", "text").mapInArrow(run, FEATURES)
 
 
 @dataclass

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import common
-from vaultlens.llm.common import arrow_schema, batch, discard, stored
+from vaultlens.llm.common import arrow_schema, batch, discard, picked, stored
 
 LENGTH = 200
 ANCHOR = 64
@@ -370,7 +370,7 @@ def remove(spanned: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """RESULT for every row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.unhex(F.md5(text)).alias("row"), "doc_id", text.alias("text"))
+    keyed = picked(docs, "doc_id", "text").select(F.unhex(F.md5(text)).alias("row"), "doc_id", text.alias("text"))
     every = stored(occurrences(keyed), "fragments")
     # stored, so that the joins below shuffle both sides, which Spark splits where a key is frequent
     often = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "frequent-anchors")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import arrow_schema, batch, stored
+from vaultlens.llm.common import arrow_schema, batch, picked, stored
 from vaultlens.llm.token_files import word_encoder
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -183,7 +183,7 @@ def encode_misses(texts: DataFrame, tokenizer_path: str, version: str) -> DataFr
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str) -> DataFrame:
     """The rows of docs (doc_id, text) as doc_id, n_bytes, n_tokens; fills the cache first."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, picked(docs, "doc_id", "text")
     version = tokenizer_digest(tokenizer_path)
     known = cached(spark, cache, version)
     content = normalised(F.col("text"))

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultlens.llm.common import arrow_schema, batch, spark_type
+from vaultlens.llm.common import arrow_schema, batch, picked, spark_type
 
 BLOCK = 4096
 #: Ids after which a shard is closed at the end of a slice.
@@ -319,7 +319,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, v
             yield shard()
 
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, F.asc_nulls_first("doc_id"), F.substring("text", 1, HEAD))
+    ordered = picked(docs, "doc_id", "text").repartitionByRange(files, F.asc_nulls_first("doc_id"), F.substring("text", 1, HEAD))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     ordered.mapInArrow(encode, spark_type(SHARD)).write.option("compression", "zstd").parquet(path)
 
