@@ -28,6 +28,16 @@ def mask_states(first: int, count: int, seed: int = MASK_SEED) -> np.ndarray:
     return (powers - np.uint64(1)) // np.uint64(4) * np.uint64(seed & M32) & np.uint64(M32)
 
 
+def mask_states_at(places: np.ndarray, seed: int = MASK_SEED) -> np.ndarray:
+    """The states at any places (0 or more), by squaring: 5**n from the bits of n."""
+    n, power, square = np.asarray(places, np.uint64).copy(), np.ones(len(places), np.uint64), 5
+    while n.any():
+        power *= np.where(n & np.uint64(1), np.uint64(square), np.uint64(1))
+        n >>= np.uint64(1)
+        square = square * square % (1 << 64)
+    return ((power & np.uint64((1 << 34) - 1)) - np.uint64(1)) // np.uint64(4) * np.uint64(seed & M32) & np.uint64(M32)
+
+
 def signed32(x: int) -> int:
     return x - (1 << 32) if x & 0x80000000 else x
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib.metadata import entry_points
 
 from vaultlens.codecs.errors import MalformedError
 from vaultlens.formats import arc, det, gsp, vf, xp3
@@ -13,11 +14,13 @@ from vaultlens.formats.model import Entry
 
 @dataclass(frozen=True)
 class Format:
-    """parse(content) and read(content, entry, archive path, options)."""
+    """parse(content) and read(content, entry, archive path, options); build(members, options) and matches(path, head, tail) if there are."""
 
     name: str
     parse: Callable[..., list[Entry]]
     read: Callable[..., bytes]
+    build: Callable[..., bytes] | None = None
+    matches: Callable[[str, bytes, bytes], bool] | None = None
 
 
 def _vf_stream(data: bytes) -> bytes:
@@ -34,17 +37,36 @@ FORMATS: dict[str, Format] = {
 EXTENSIONS = {".det": "det", ".gsp": "gsp", ".arc": "arc"}
 
 
-def register_format(name: str, parse: Callable[..., list[Entry]], read: Callable[..., bytes]) -> None:
-    FORMATS[name] = Format(name, parse, read)
+BUILT_IN = frozenset(FORMATS)
+#: Entry points of this group are functions without arguments that call register_format.
+GROUP = "vaultlens.formats"
+
+
+def register_format(name: str, parse: Callable[..., list[Entry]], read: Callable[..., bytes], build: Callable[..., bytes] | None = None, matches: Callable[[str, bytes, bytes], bool] | None = None) -> None:
+    """Add a format that archives are then scanned, read, written (build) and recognised (matches) in; an older one of that name goes."""
+    FORMATS[name] = Format(name, parse, read, build, matches)
+
+
+def discover(group: str = GROUP) -> list[str]:
+    """Load what installed packages offer under an entry-point group; their names."""
+    found = sorted(entry_points(group=group), key=lambda e: e.name)
+    for e in found:
+        e.load()()
+    return [e.name for e in found]
+
+
+def added() -> list[Format]:
+    return [f for n, f in FORMATS.items() if n not in BUILT_IN and f.matches]
 
 
 def identify(path: str, head: bytes, tail: bytes) -> str | None:
-    """By the first 16 and last 6 bytes, then by extension."""
+    """By the first 16 and last 6 bytes, then by extension, then as added formats say."""
     if head.startswith(xp3.MAGIC):
         return "xp3"
     if head.startswith(vf.MAGIC) or head.startswith(b"MZ") and tail.endswith(vf.TRAILER_TAG):
         return "vf"
-    return EXTENSIONS.get(os.path.splitext(path)[1].lower())
+    known = EXTENSIONS.get(os.path.splitext(path)[1].lower())
+    return known or next((f.name for f in added() if f.matches(path, head, tail)), None)
 
 
 def bundle(files: dict[str, bytes]) -> bytes:

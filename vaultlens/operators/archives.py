@@ -8,6 +8,7 @@ archive and never shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,11 +38,20 @@ BUILDERS = {
 }
 
 
+def builder(format: str):
+    """build(members, options) of a format, built in or added."""
+    return BUILDERS.get(format) or registry.FORMATS[format].build
+
+
 def read_archives(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(archive, format, content) of all files below path that are archives; format by magic, then extension."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     head, tail = F.substring("content", 1, 16), F.expr("substring(content, -6, 6)")
-    return files.select(F.col("path").alias("archive"), identify_format(F.col("path"), head, tail).alias("format"), "content").where("format is not null")
+    kind, added = identify_format(F.col("path"), head, tail), registry.added()
+    if added:
+        other = F.udf(lambda path, head, tail: next((f.name for f in added if f.matches(path, bytes(head), bytes(tail))), None), "string")
+        kind = F.coalesce(kind, other("path", head, tail))
+    return files.select(F.col("path").alias("archive"), kind.alias("format"), "content").where("format is not null")
 
 
 def bundle_companions(spark: SparkSession, path: str) -> DataFrame:
@@ -57,29 +67,33 @@ def bundle_companions(spark: SparkSession, path: str) -> DataFrame:
 def pack(members: DataFrame, format: str, **options) -> DataFrame:
     """ARCHIVES from members (archive, ordinal, file_name, data), one archive a task row."""
 
+    build = builder(format)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordinal", kind="stable")
-        data = BUILDERS[format]([Member(n, bytes(d or b"")) for n, d in zip(rows.file_name, rows.data, strict=True)], options)
+        data = build([Member(n, bytes(d or b"")) for n, d in zip(rows.file_name, rows.data, strict=True)], options)
         return pd.DataFrame({"archive": rows.archive.iloc[:1], "format": [format], "content": [data]})
 
     return members.select("archive", "ordinal", "file_name", "data").groupBy("archive").applyInPandas(run, ARCHIVES)
 
 
-def parse_row(format: str, content: bytes, one_per_key: bool = False) -> list[Entry]:
-    if format == "xp3":
+def parse_row(format: str, content: bytes, one_per_key: bool = False, formats: dict[str, registry.Format] | None = None) -> list[Entry]:
+    """formats: those of the session that planned the work, since a worker's registry has the built-in ones alone."""
+    if format == "xp3" and one_per_key:
         return xp3.parse(content, one_per_key)
-    return registry.FORMATS[format].parse(content)
+    return (formats or registry.FORMATS)[format].parse(content)
 
 
 def scan(archives: DataFrame, one_per_key: bool = False) -> DataFrame:
     """ENTRIES of every archive; an archive that can't be parsed is one row with its error."""
+    formats = dict(registry.FORMATS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for archive, format, content in zip(b.archive, b.format, b.content, strict=True):
                 try:
-                    rows += [(*e.row(archive, k), None) for k, e in enumerate(parse_row(format, content, one_per_key))]
+                    rows += [(*e.row(archive, k), None) for k, e in enumerate(parse_row(format, content, one_per_key, formats))]
                 except (MalformedError, KeyError) as e:
                     rows.append((archive, *[None] * 15, f"{type(e).__name__}: {e}"))
             frame = pd.DataFrame(rows, columns=NAMES)
@@ -90,16 +104,35 @@ def scan(archives: DataFrame, one_per_key: bool = False) -> DataFrame:
     return archives.select("archive", "format", "content").mapInPandas(run, ENTRIES)
 
 
+#: Bytes of members that are handed on at once.
+PAYLOAD_BYTES = 16 << 20
+
+
 def payloads(archives: DataFrame, glob: str | None = None, **options) -> DataFrame:
-    """PAYLOADS of members whose name fits the glob; others aren't read.  options: scheme, parameters, force, decrypt, check."""
+    """PAYLOADS of members whose name fits the glob; others aren't read.  options: scheme, parameters, force, decrypt, check.
+
+    Columns scheme and parameters (JSON) of archives, if there are, count for
+    their own archive; a null scheme there leaves the options as they are.
+    """
     import fnmatch
 
+    formats, own = dict(registry.FORMATS), [c for c in ("scheme", "parameters") if c in archives.columns]
+    columns = [c.split(" ")[0] for c in PAYLOADS.split(", ")]
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=columns)
+        frame["ordinal"] = frame["ordinal"].astype("Int64")
+        return frame
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for archive, format, content in zip(b.archive, b.format, b.content, strict=True):
-                rows = []
+            schemes = b.scheme if "scheme" in own else [None] * len(b)
+            parameters = b.parameters if "parameters" in own else [None] * len(b)
+            for archive, format, content, scheme, given in zip(b.archive, b.format, b.content, schemes, parameters, strict=True):
+                chosen = options if scheme is None else options | {"scheme": scheme, "parameters": json.loads(given) if given else None}
+                rows, held = [], 0
                 try:
-                    entries = parse_row(format, content)
+                    entries = parse_row(format, content, formats=formats)
                 except (MalformedError, KeyError) as e:
                     entries = []
                     rows.append((archive, format, None, None, None, "unreadable", str(e)))
@@ -107,15 +140,17 @@ def payloads(archives: DataFrame, glob: str | None = None, **options) -> DataFra
                     if glob is not None and not fnmatch.fnmatchcase(e.file_name, glob):
                         continue
                     try:
-                        rows.append((archive, format, k, e.file_name, registry.FORMATS[format].read(content, e, archive, options), "ok", None))
+                        rows.append((archive, format, k, e.file_name, formats[format].read(content, e, archive, chosen), "ok", None))
+                        held += len(rows[-1][4])
                     except (MalformedError, ValueError) as error:
                         rows.append((archive, format, k, e.file_name, None, "error", str(error)))
+                    if held >= PAYLOAD_BYTES:
+                        yield framed(rows)
+                        rows, held = [], 0
                 if rows:
-                    frame = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PAYLOADS.split(", ")])
-                    frame["ordinal"] = frame["ordinal"].astype("Int64")
-                    yield frame
+                    yield framed(rows)
 
-    return archives.select("archive", "format", "content").mapInPandas(run, PAYLOADS)
+    return archives.select("archive", "format", "content", *own).mapInPandas(run, PAYLOADS)
 
 
 def segments(entries: DataFrame) -> DataFrame:

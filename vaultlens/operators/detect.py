@@ -21,7 +21,7 @@ from vaultlens.codecs.errors import MalformedError
 from vaultlens.codecs.program import control_block
 from vaultlens.formats import xp3
 from vaultlens.functions import paths
-from vaultlens.operators.relational import early_exit, first_match, last_wins
+from vaultlens.operators.relational import early_exit, first_match, last_wins, settled
 
 RESERVED = {"title", "encryption", "tpm_hashes", "xp3_hashes"}
 LIBRARY = "game_key string, ordinal int, title string, encryption string, parameters string, kind string, tpm_hashes array<string>, xp3_hashes array<string>"
@@ -299,6 +299,7 @@ def identify_games(archives: DataFrame, plugins: DataFrame, books: DataFrame, pl
     columns = ["game_dir", "status", "encryption", "parameters", "checked", "failures"]
     listed = books.select("game_key", "encryption", "parameters").unionByName(plain.select("game_key", "encryption", "parameters"))
     seen = known(archives, plugins, books, plain).join(listed, "game_key", "left").withColumn("status", F.lit("known")).withColumns(counts).select(*columns)
+    seen = settled(seen)  # each step's result is read by several of the next
     rest = archives.join(seen.select("game_dir"), "game_dir", "left_anti")
     flags = relations.scan(rest.select("archive", F.lit("xp3").alias("format"), "content")).groupBy("archive").agg(F.bool_or("encrypted").alias("flagged"))
     dirs = rest.select("game_dir", "archive").join(flags, "archive").groupBy("game_dir").agg(F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("flagged"))
@@ -307,16 +308,16 @@ def identify_games(archives: DataFrame, plugins: DataFrame, books: DataFrame, pl
     tally = early_exit(checks, ["game_dir"], ["archive", "place"], "bad", enough)
     tally = dirs.where("not flagged").select("game_dir").join(tally, "game_dir", "left").fillna({"checked": 0, "failures": 0, "confirmed": False})
     unflagged = tally.withColumn("status", F.when(F.col("confirmed"), "unencrypted").when(F.col("failures") == 0, "inconclusive")).withColumns(blank)
-    done = unflagged.where("status is not null").select(*columns)
+    done = settled(unflagged.where("status is not null").select(*columns))
     open_ = rest.join(done.select("game_dir"), "game_dir", "left_anti")
     guesses = fitting_schemes(open_, force=True).join(open_.select("game_dir", "archive"), "archive")
-    guesses = guesses.groupBy("game_dir", "encryption", "parameters").agg(F.min("place").alias("place"))
+    guesses = settled(guesses.groupBy("game_dir", "encryption", "parameters").agg(F.min("place").alias("place")))
     tries = open_.where(~paths.is_patch(F.col("archive"))).join(guesses, "game_dir")
     tagged = tries.withColumn("archive", F.to_json(F.struct("archive", "encryption", "parameters")))
     results = scheme_checks(tagged).join(tagged.select("archive", "game_dir", F.col("place").alias("scheme"), "encryption", "parameters"), "archive")
     best = verdict(results, ["game_dir", "scheme", "encryption", "parameters"], enough).where("confirmed")
     best = best.groupBy("game_dir").agg(F.min(F.struct("scheme", "encryption", "parameters", "checked", "failures")).alias("b")).select("game_dir", "b.*")
-    confirmed = best.withColumn("status", F.lit("confirmed")).select(*columns)
+    confirmed = settled(best.withColumn("status", F.lit("confirmed")).select(*columns))
     failed = open_.select("game_dir").distinct().join(confirmed.select("game_dir"), "game_dir", "left_anti")
     failed = failed.withColumn("status", F.lit("failed")).withColumns(blank).withColumns(counts).select(*columns)
     return seen.unionByName(done).unionByName(confirmed).unionByName(failed)

@@ -6,6 +6,7 @@ the columns that give it; ties are broken by whatever the caller adds there.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -134,3 +135,14 @@ def early_exit(checks: DataFrame, group: Sequence[str], order: Sequence[str], fa
         *group, F.coalesce("_stop", "_all").alias("checked"), F.when(F.col("_stop").isNotNull(), 0).otherwise(F.col("_fails")).cast("long").alias("failures"),
         F.col("_stop").isNotNull().alias("confirmed"),
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the session's shared folder once: what reads it often doesn't work it out again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="vaultlens-"))
+    return df.checkpoint()

@@ -166,16 +166,21 @@ def round_trip_program(spark, sf_dir):
 # --- generators, dates, strings -------------------------------------------------------
 
 
+#: 5 ** (2 ** b) modulo 2 ** 34, from which DuckDB multiplies 5 ** n together.
+SQUARES = ", ".join(f"{pow(5, 1 << b, 1 << 34)}::HUGEINT" for b in range(34))
+
+
 @query(
-    """WITH RECURSIVE s(n, state) AS (SELECT 0, 0::HUGEINT UNION ALL SELECT n + 1, (state * 5 + 1977019961) % 4294967296 FROM s WHERE n < 1000)
-SELECT event_id, state::BIGINT AS state FROM events JOIN s ON s.n = event_id % 1000"""
+    f"""WITH p AS (SELECT event_id, list_reduce(list_transform(range(0, 34), lambda b: CASE WHEN (event_id >> b) & 1 = 1 THEN [{SQUARES}][b + 1] ELSE 1::HUGEINT END),
+ lambda x, y: (x * y) % 17179869184) AS power FROM events)
+SELECT event_id, ((power - 1) // 4 * 1977019961 % 4294967296)::BIGINT AS state FROM p"""
 )
 def mask_states(spark, sf_dir):
     @arrow_udf("long")
     def state(n: pa.Array) -> pa.Array:
-        return pa.array([prng.mask_state(k) for k in n.to_pylist()], pa.int64())
+        return pa.array(prng.mask_states_at(n.to_numpy()).astype(np.int64), pa.int64())
 
-    return read(spark, sf_dir, "events").select("event_id", state(F.col("event_id") % 1000).alias("state"))
+    return read(spark, sf_dir, "events").select("event_id", state("event_id").alias("state"))
 
 
 @query(
@@ -227,15 +232,34 @@ def page_paths(spark, sf_dir):
 
 
 @query(
-    """SELECT f.formula FROM (SELECT DISTINCT formula FROM (VALUES
- ('h >> 0', 0), ('h >> 3', 3), ('h >> 8', 8)) v(formula, s)) f WHERE f.formula = 'h >> 3'"""
+    """WITH o AS (SELECT (event_id * 2654435761) % 4294967296 AS h FROM events), k AS (SELECT h, (h >> 3) & 255 AS key FROM o),
+t AS (SELECT key, 'h >> ' || s AS formula, (h >> s) & 255 AS guess FROM k, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (16), (24)) v(s)
+ UNION ALL SELECT key, '~(h + 1)', (-(h + 2)) & 255 FROM k UNION ALL SELECT key, 'h ^ cd', xor(h, 205) & 255 FROM k
+ UNION ALL SELECT key, 'h ^ h >> 8', xor(h, h >> 8) & 255 FROM k UNION ALL SELECT key, '~(h >> 7)', 255 - ((h >> 7) & 255) FROM k
+ UNION ALL SELECT key, 'bytes of h ^ 1ddb6e7a', CASE WHEN b = 0 THEN 208 ELSE b END FROM (SELECT key, xor(xor(x, x >> 8), xor(x >> 16, x >> 24)) & 255 AS b FROM (SELECT key, xor(h, 500919930) AS x FROM k)))
+SELECT formula, count(*) AS n, count(*) FILTER (WHERE key = guess) AS hits, bool_and(key = guess) AS holds FROM t GROUP BY formula"""
+)
+def key_formula_hits(spark, sf_dir):
+    """How often each formula gives the key byte observed for a hash, and whether it always does."""
+    tries = _observed(spark, sf_dir).select("key", F.inline(fb.key_formulas(F.col("h"))).alias("formula", "scheme", "guess"))
+    hit = F.col("key") == F.col("guess")
+    return tries.groupBy("formula").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.bool_and(hit).alias("holds"))
+
+
+def _observed(spark, sf_dir):
+    """(h, key): a hash for each event, and a key byte made of it by one of the formulas."""
+    seen = read(spark, sf_dir, "events").select(((F.col("event_id") * 2654435761) % 4294967296).alias("h"))
+    return seen.withColumn("key", F.shiftright("h", 3).bitwiseAND(0xFF))
+
+
+@query(
+    """WITH k AS (SELECT (event_id * 2654435761) % 4294967296 AS h FROM events)
+SELECT 'h >> ' || s AS formula, 'hash-xor shift=' || s AS scheme FROM k, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (16), (24)) v(s)
+GROUP BY s HAVING bool_and((h >> s) & 255 = (h >> 3) & 255)"""
 )
 def key_formula_division(spark, sf_dir):
     """Formulas that hold on every observation (hash, key byte)."""
-    seen = read(spark, sf_dir, "events").select(F.pmod(F.xxhash64("event_id"), F.lit(1 << 32)).alias("h"))
-    seen = seen.withColumn("key", F.shiftright("h", 3).bitwiseAND(0xFF))
-    tries = seen.select("key", F.inline(fb.key_formulas(F.col("h"))).alias("formula", "scheme", "guess"))
-    return rel.all_hold(tries, ["formula"], F.col("key") == F.col("guess")).select("formula")
+    return detect.matching_formulas(_observed(spark, sf_dir))
 
 
 @query(
@@ -259,16 +283,16 @@ def last_wins(spark, sf_dir):
 
 
 @query(
-    """WITH lib AS (SELECT p_brand AS brand, max(p_partkey) AS p_partkey FROM part GROUP BY p_brand),
+    """WITH lib AS (SELECT p_brand AS brand, max(p_partkey) AS p_partkey FROM part WHERE p_brand NOT LIKE '%2' AND p_brand NOT LIKE '%4' GROUP BY p_brand),
 hits AS (SELECT l.l_orderkey AS archive, l.l_linenumber AS rank, l.l_partkey AS part, p.p_brand AS brand, lib.p_partkey AS entry FROM lineitem l
- JOIN part p ON p.p_partkey = l.l_partkey JOIN lib ON lib.brand = p.p_brand WHERE l.l_partkey % 4 = 0)
+ JOIN part p ON p.p_partkey = l.l_partkey JOIN lib ON lib.brand = p.p_brand)
 SELECT archive, rank, part, brand, entry FROM hits QUALIFY row_number() OVER (PARTITION BY archive ORDER BY rank, part) = 1"""
 )
 def lookup_first_match(spark, sf_dir):
     """The first line of each order whose part's brand a library lists; of entries of one brand the last counts."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
-    lib = part.groupBy("brand").agg(F.max("part").alias("entry"))
-    lines = read(spark, sf_dir, "lineitem").where("l_partkey % 4 = 0").select(F.col("l_orderkey").alias("archive"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("part"))
+    lib = part.where("brand not like '%2' and brand not like '%4'").groupBy("brand").agg(F.max("part").alias("entry"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("archive"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("part"))
     return rel.first_match(lines.join(part, "part"), lib, "brand", ["archive"], ["rank", "part"]).select("archive", "rank", "part", "brand", "entry")
 
 
@@ -473,41 +497,54 @@ def detect_schemes(spark, sf_dir):
     return detect.by_probe(packed.withColumn("plugin", F.lit(None).cast("binary"))).select("archive", "encryption", "method")
 
 
-IMAGE_SQL = """SELECT vec_id, 8 AS width, 4 AS height,
- list_sum(list_transform(embedding[1:32], lambda x: (floor(abs(x) * 1000)::BIGINT) % 256))::BIGINT AS red FROM embeddings"""
+SHADE = "(floor(abs(embedding[%s]) * 1000)::BIGINT %% 256)"
+IMAGE_SQL = f"""SELECT vec_id, 8 AS width, 8 AS height,
+ list_sum(list_transform(range(1, 65), lambda i: i * ({SHADE % 'i'} + 300 * {SHADE % '65 - i'} + 90000 * ((7 * {SHADE % 'i'} + i) % 256))))::BIGINT AS pixels FROM embeddings"""
+
+
+def shades(v: np.ndarray) -> np.ndarray:
+    """The picture of 8 by 8 pixels that an embedding's 64 values draw: red by value, green backwards, blue of both value and place."""
+    red = (np.floor(np.abs(np.asarray(v, np.float64)) * 1000).astype(np.int64) % 256).astype(np.uint8)
+    blue = ((7 * red.astype(np.int64) + np.arange(1, 65)) % 256).astype(np.uint8)
+    return np.stack([red, red[::-1], blue, np.full(64, 255, np.uint8)], axis=1).reshape(8, 8, 4)
+
+
+def drawn(encode: Callable[[bytes], bytes]) -> Callable[[Column], Column]:
+    @F.pandas_udf("binary")
+    def draw(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: encode(shades(x).tobytes()))
+
+    return draw
 
 
 def _images(name: str, encode: Callable[[bytes], bytes]) -> None:
-    """Pictures of 8 by 4 pixels whose red channel is an embedding's first 32 values, encoded and decoded again."""
+    """Pictures encoded and decoded again; the sum weighs every channel of every pixel by its place."""
 
     @query(IMAGE_SQL, f"image_{name}")
     def run(spark, sf_dir):
-        @F.pandas_udf("binary")
-        def draw(v: pd.Series) -> pd.Series:
-            def one(x):
-                picture = np.zeros((4, 8, 4), np.uint8)
-                red = (np.floor(np.abs(np.asarray(x[:32], np.float64)) * 1000).astype(np.int64) % 256).astype(np.uint8)
-                picture[:, :, 0] = np.resize(np.pad(red, (0, 32 - len(red))), (4, 8))
-                picture[:, :, 3] = 255
-                return encode(picture.tobytes())
-
-            return v.map(one)
-
         @F.pandas_udf("long")
-        def red(pixels: pd.Series, mode: pd.Series) -> pd.Series:
-            return pd.Series([int(np.frombuffer(p, np.uint8)[:: len(m)].sum(dtype=np.int64)) for p, m in zip(pixels, mode, strict=True)], dtype="int64")
+        def weighed(pixels: pd.Series, mode: pd.Series) -> pd.Series:
+            def one(p, m):
+                x = np.frombuffer(p, np.uint8).reshape(-1, len(m)).astype(np.int64)
+                return int((np.arange(1, len(x) + 1) * (x[:, 0] + 300 * x[:, 1] + 90000 * x[:, 2])).sum())
 
-        rows = read(spark, sf_dir, "embeddings").select("vec_id", fb.image(draw("embedding")).alias("i"))
-        return rows.select("vec_id", "i.width", "i.height", red("i.pixels", "i.mode").alias("red"))
+            return pd.Series([one(p, m) for p, m in zip(pixels, mode, strict=True)], dtype="int64")
+
+        rows = read(spark, sf_dir, "embeddings").select("vec_id", fb.image(drawn(encode)("embedding")).alias("i"))
+        return rows.select("vec_id", "i.width", "i.height", weighed("i.pixels", "i.mode").alias("pixels"))
 
 
 def _bgr(raw: bytes) -> bytes:
-    return np.frombuffer(raw, np.uint8).reshape(4, 8, 4)[:, :, [2, 1, 0]].tobytes()
+    return np.frombuffer(raw, np.uint8).reshape(8, 8, 4)[:, :, [2, 1, 0]].tobytes()
 
 
-_images("strips", lambda raw: tlg.encode_strips(8, 4, raw))
-_images("blocks", lambda raw: tlg.wrap(tlg.encode_blocks(8, 4, raw, 3, np.array([[27]]))))
-_images("layers", lambda raw: gale.encode(8, 4, 24, _bgr(raw), version=107))
+ENCODERS: dict[str, Callable[[bytes], bytes]] = {
+    "strips": lambda raw: tlg.encode_strips(8, 8, raw),
+    "blocks": lambda raw: tlg.wrap(tlg.encode_blocks(8, 8, raw, 3, np.array([[27]]))),
+    "layers": lambda raw: gale.encode(8, 8, 24, _bgr(raw), version=107),
+}
+for _name, _encode in ENCODERS.items():
+    _images(_name, _encode)
 
 
 def queries() -> dict[str, Query]:
@@ -516,3 +553,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+
+
+from vaultlens.plans import inventory  # noqa: E402, F401  registers its queries

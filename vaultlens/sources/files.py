@@ -34,14 +34,20 @@ def converted(name: str, data: bytes, images: bool, text: bool) -> tuple[str, by
     return name, data, None
 
 
-def extract(payloads: DataFrame, root: str, images: bool = False, text: bool = True) -> DataFrame:
+def extract(payloads: DataFrame, root: str, images: bool = False, text: bool = True, below: str | None = None) -> DataFrame:
     """EXTRACTED of payloads (archive, file_name, data, status): new files below root/archive, which all executors must have mounted.
 
+    Archives below the folder ``below`` keep their places in it, so that those of one name stay apart.
+
     Statuses: written, kept as it was (with a reason), exists, name too long, or
     the payload's own.  Files appear whole, under their names, or not at all.
     """
     root = root.removeprefix("file://")
     base = F.regexp_replace(F.regexp_extract("archive", "([^/]*)$", 1), r"\.[^.]*$", "")
+    if below is not None:
+        path, top = F.regexp_replace("archive", "^[a-z]+:/*", "/"), os.path.abspath(below).rstrip("/") + "/"
+        inner = F.regexp_replace(F.substring(path, F.lit(len(top) + 1), F.length(path)), r"\.[^./]*$", "")
+        base = F.when(F.startswith(path, F.lit(top)), inner).otherwise(base)
     placed = payloads.withColumn("_place", F.concat_ws("/", safe_path(base), safe_path(F.col("file_name"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
