@@ -482,6 +482,11 @@ def test_fingerprints(docs, rows, none, spark):
         assert collected(out, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint") == expected
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out.collect())
     assert fingerprints.neighbours(none).count() == 0
+    tied = frame(spark, [(None, f"{k} " + "x" * k, "a") for k in range(40)] + [(7, f"{k} y", "a") for k in range(40)])
+    order = sorted(f"{k} y" for k in range(40)) + sorted(f"{k} " + "x" * k for k in range(40))
+    expected = Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + x[: len(t) // 2]).encode()).hexdigest() for t, x in zip(order, order[1:] + order[:1], strict=True))
+    for files in (1, 6):
+        assert Counter(r.edited_sha256 for r in fingerprints.neighbours(tied, files).collect()) == expected
     alone = fingerprints.neighbours(frame(spark, [(1, "abcd" * 30, "a")])).first()
     assert alone.near_next == 1
 

@@ -28,6 +28,8 @@ from vaultlens.llm.common import arrow_schema, batch, picked, spark_type, stored
 
 LENGTH = 64
 ROLL = 7
+#: First characters of a text that deal out rows of one doc_id.
+HEAD = 32
 MULTIPLIERS = [pow(0x01000193, k + 1, 1 << 32) for k in range(ROLL)]
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 CODE = np.zeros(256, np.int64)
@@ -138,8 +140,9 @@ def compare(ids: list, texts: list[str], after: list[str]) -> list[list]:
 def neighbours(docs: DataFrame, files: int | None = None) -> DataFrame:
     """PRINT for every row of docs (doc_id, text): its edited text takes its second half from the next lower doc_id.
 
-    Rows are range-partitioned by doc_id; each partition hands out its first
-    and last text, and those few rows are matched across partitions.
+    Rows are range-partitioned by doc_id and the first characters of the text,
+    so rows of one doc_id are dealt to several tasks; each partition hands out
+    its first and last text, and those few rows are matched across partitions.
     """
     out, spark = arrow_schema(HELD), docs.sparkSession
 
@@ -167,12 +170,13 @@ def neighbours(docs: DataFrame, files: int | None = None) -> DataFrame:
 
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = picked(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files, F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    rows = rows.repartitionByRange(files, F.desc_nulls_last("doc_id"), F.substring("text", 1, HEAD)).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
     rows = stored(rows.mapInArrow(run, spark_type(HELD)), "fingerprints")
     columns = PRINT.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")
-    heads = rows.where("kind = 'first'").select("part", F.col("text").alias("after"))
-    heads = heads.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("before"), "after")
-    tails = rows.where("kind = 'last'").select("doc_id", "text", "part").join(heads.select(F.col("before").alias("part"), "after"), "part")
+    heads = rows.where("kind = 'first'").select(F.col("part").alias("following"), F.col("text").alias("after"))
+    parts = rows.where("kind = 'first'").select(F.col("part").alias("following"))  # one number for each partition, no texts
+    parts = parts.select("following", F.coalesce(F.lag("following").over(Window.orderBy("following")), F.max("following").over(Window.partitionBy())).alias("part"))
+    tails = rows.where("kind = 'last'").select("doc_id", "text", "part").join(parts, "part").join(heads, "following")
 
     done = arrow_schema(PRINT)
 
