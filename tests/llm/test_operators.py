@@ -400,8 +400,10 @@ def brute_scores(rows, mu=100.0):
     return expected
 
 
-@pytest.mark.parametrize("small", [{}, {"block_bytes": 3000, "group_entries": 700}])
-def test_language_model(docs, rows, none, small):
+@pytest.mark.parametrize("tasks", [language_model.MOST_TASKS, 1])  # a task for each group; several groups in a task
+@pytest.mark.parametrize("small", [{}, {"block_bytes": 3000, "group_entries": 100}])
+def test_language_model(docs, rows, none, small, tasks, monkeypatch):
+    monkeypatch.setattr(language_model, "MOST_TASKS", tasks)
     expected, got = brute_scores(rows), defaultdict(list)
     for r in language_model.score(docs, **small).collect():
         got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))

@@ -46,6 +46,8 @@ ORDER = 3
 BLOCK_BYTES = 6 << 20
 #: Entries that a group adds up at once.
 GROUP_ENTRIES = 1_000_000
+#: Tasks that the groups are dealt out to at most; beyond it a task reads several groups, one after the other.
+MOST_TASKS = 20_000
 #: Bits of an n-gram's hash beyond those that number the corpus's tokens.
 CLASH_BITS = 24
 END = np.uint64(0x5851F42D4C957F2D)
@@ -200,8 +202,11 @@ def ask(blocks: DataFrame, groups: list[int], bits: int) -> DataFrame:
     return blocks.select("block", "held", "ends", "codes", "vocabulary").mapInArrow(run, ASKED)
 
 
-def answer(asked: DataFrame) -> DataFrame:
-    """ANSWER: the totals over all blocks of what each block asked for, in its order."""
+def answer(asked: DataFrame, groups: int) -> DataFrame:
+    """ANSWER: the totals over all blocks of what each block asked for, in its order; groups: how many all orders have together.
+
+    There are as many tasks as groups, so what one reads stays the same as the input grows.
+    """
     out = arrow_schema(ANSWER)
 
     def total(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +236,7 @@ def answer(asked: DataFrame) -> DataFrame:
         if rows:
             yield from total(at, rows)
 
-    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, MOST_TASKS))
     return asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(run, ANSWER)
 
 
@@ -346,7 +351,7 @@ def score(docs: DataFrame, of: int = 7, is_: int = 2, mu: float = 100.0, block_b
     size = [n or 0 for n in blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("train_tokens")).first()]
     groups = [max(1, -(-n // group_entries)) for n in (size[0], *[size[1]] * (ORDER - 1))]
     bits, word_groups = min(64, max(40, size[1].bit_length() + CLASH_BITS)), groups[0]
-    answers = stored(answer(ask(blocks, groups, bits)), "model-answers")
+    answers = stored(answer(ask(blocks, groups, bits), sum(groups)), "model-answers")
     n_distinct = answers.where(F.col("part") < word_groups).agg(F.sum("n_distinct")).first()[0] or 0
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
     out = arrow_schema(SCORED)
