@@ -1,6 +1,8 @@
 """Each operator against a brute-force version on documents with every odd case, and on empty tables."""
 
+import functools
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -624,6 +626,15 @@ def test_rendering_equals_the_walk(template):
         assert sum(calls) < 4 * len(turns)
 
 
+def test_the_default_template_is_rendered_at_every_prefix():
+    default = inspect.signature(chat.format_conversations).parameters["template"].default
+    calls = []
+    spy = functools.wraps(default)(lambda turns: calls.append(len(turns)) or default(turns))  # declares what the default does
+    turns = [("user" if k % 2 else "assistant", f"turn {k} <|") for k in range(300)]
+    assert chat.render(turns, spy) == chat.walk(turns, default)
+    assert set(calls) == set(range(301))
+
+
 def test_a_rewrite_at_any_turn_is_seen():
     for n, at in ((600, 300), (600, 599), (3, 2), (600, 256), (600, 257)):
         bang = lambda turns, at=at: chat.marked(turns) + "!" * (len(turns) == at)
