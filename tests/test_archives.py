@@ -240,3 +240,32 @@ def test_identify_games_verifies_every_fitting_scheme(spark):
     none = spark.createDataFrame([], "game_dir string, name string, hash string")
     got = detect.identify_games(found, none, detect.library(spark, ""), detect.library(spark, "", "plain")).first()
     assert (got.status, got.encryption, json.loads(got.parameters), got.checked) == ("confirmed", "hash-xor", {"shift": 9}, 3)
+
+
+@pytest.mark.parametrize(("scheme", "parameters", "blank"), [("poringsoft", None, 0xFE), ("hash-xor", {"shift": 5}, 0), ("hash-xor", {"shift": 5}, None)])
+def test_probing_tells_schemes_apart(spark, scheme, parameters, blank):
+    """The smallest member's key byte leaves its bytes as they are, or is that of an earlier scheme; the others decide."""
+    import zlib
+
+    def fools(data):
+        key = zlib.adler32(data)
+        if scheme == "poringsoft":
+            return key & 0xFF == blank
+        return key >> 5 & 0xFF == (blank if blank is not None else ~(key + 1) & 0xFF)
+
+    small = next(d for d in (PNG + b"\xff" * n + bytes([a]) for n in range(40) for a in range(256)) if fools(d))
+    others = [Member(f"{k}.png", PNG + bytes(range(k, k + 90))) for k in range(3)]
+    data = xp3.build([Member("a.png", small), *others], True, scheme, parameters)
+    assert detect.probe_one(data)[0] != scheme
+    found = spark.createDataFrame([("g", "g/data.xp3", "h", bytearray(data), None)], "game_dir string, archive string, hash string, content binary, plugin binary")
+    hit = detect.by_probe(found).first()
+    assert (hit.encryption, json.loads(hit.parameters)) == (scheme, parameters or {})
+    none = spark.createDataFrame([], "game_dir string, name string, hash string")
+    got = detect.identify_games(found, none, detect.library(spark, ""), detect.library(spark, "", "plain")).first()
+    assert (got.status, got.encryption, json.loads(got.parameters)) == ("confirmed", scheme, parameters or {})
+
+
+def test_probing_without_candidates():
+    assert detect.probe_apart(xp3.build([Member("a.txt", b"x")])) == []
+    odd = xp3.build([Member("a.png", b"no"), Member("b.png", PNG + bytes(300))], True, "poringsoft")
+    assert detect.probe_apart(odd) == []

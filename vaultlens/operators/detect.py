@@ -129,6 +129,25 @@ def probe_one(content: bytes, plugin: bytes | None = None, force: bool = False)
     return next(((name, parameters) for _, name, parameters in probe_all(content, plugin, force)), None)
 
 
+def probe_apart(content: bytes, plugin: bytes | None = None, force: bool = False) -> list[tuple[int, str, dict]]:
+    """(place, scheme, parameters) of every scheme under which the smallest candidate begins as its extension says, told apart by the others.
+
+    While several are left, the next candidate by size leaves those that fit it
+    as well; one that fits none of them tells nothing.  A shift whose key byte
+    is 0 changes nothing, but may be right, so it is kept until another
+    candidate decides; the scheme "null" fits wherever it does, and is first.
+    """
+    found = sorted(candidates(content, force), key=lambda c: c[0].segments[0].compressed_size)
+    left = [(place, *s) for place, s in enumerate(schemes(plugin))] if found else []
+    for k, (entry, ext, raw) in enumerate(found):
+        fit = [s for s in left if (plain := xp3.try_decrypt(raw, entry.segments[0], entry.key or 0, *s[1:])) and plain.startswith(paths.SIGNATURES[ext])]
+        if not k or fit:
+            left = fit
+        if len(left) < 2:
+            break
+    return left
+
+
 def shown(parameters: dict) -> str:
     return json.dumps({k: v for k, v in parameters.items() if k != "control_block"})
 
@@ -144,11 +163,9 @@ def by_probe(archives: DataFrame, force: bool = False) -> DataFrame:
             rows = []
             for archive, content, plugin in zip(b.archive, b.content, b.plugin, strict=True):
                 try:
-                    hit = probe_one(content, plugin, force)
+                    rows += [(archive, name, shown(parameters), "probe") for _, name, parameters in probe_apart(content, plugin, force)[:1]]
                 except MalformedError:
-                    hit = None
-                if hit:
-                    rows.append((archive, hit[0], shown(hit[1]), "probe"))
+                    continue
             yield pd.DataFrame(rows, columns=["archive", "encryption", "parameters", "method"])
 
     return archives.select("archive", "content", "plugin").mapInPandas(run, DETECTED)
@@ -158,14 +175,14 @@ GUESSES = "archive string, place int, encryption string, parameters string"
 
 
 def fitting_schemes(archives: DataFrame, force: bool = False) -> DataFrame:
-    """GUESSES: every scheme that fits the sample of an archive (archive, content, plugin), with its place in schemes()."""
+    """GUESSES: every scheme that fits the sample of an archive (archive, content, plugin) and that no other member rules out, with its place in schemes()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for archive, content, plugin in zip(b.archive, b.content, b.plugin, strict=True):
                 try:
-                    rows += [(archive, place, name, shown(parameters)) for place, name, parameters in probe_all(content, plugin, force)]
+                    rows += [(archive, place, name, shown(parameters)) for place, name, parameters in probe_apart(content, plugin, force)]
                 except MalformedError:
                     continue
             yield pd.DataFrame(rows, columns=["archive", "place", "encryption", "parameters"])
