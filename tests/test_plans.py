@@ -34,6 +34,17 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(duck.sql(sql).df())
 
 
+@pytest.mark.parametrize("name", ["image_blocks", "image_layers", "image_strips"])
+def test_images_of_values_that_round(spark, tmp_path, name):
+    """0.009 as a float is below 0.009, but 1000 times it is 9 as a float."""
+    values = [0.009, -0.037, 0.29] + [k / 1000 for k in range(1, 62)]
+    spark.createDataFrame([(1, values)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    function, sql = plans.QUERIES[name]
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert rows(function(spark, str(tmp_path)).toPandas()) == rows(c.sql(sql).df())
+
+
 def column(spark, value, function, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(function(F.col("x")).alias("y")).first().y
 

@@ -503,8 +503,11 @@ IMAGE_SQL = f"""SELECT vec_id, 8 AS width, 8 AS height,
 
 
 def shades(v: np.ndarray) -> np.ndarray:
-    """The picture of 8 by 8 pixels that an embedding's 64 values draw: red by value, green backwards, blue of both value and place."""
-    red = (np.floor(np.abs(np.asarray(v, np.float64)) * 1000).astype(np.int64) % 256).astype(np.uint8)
+    """The picture of 8 by 8 pixels that an embedding's 64 values draw: red by value, green backwards, blue of both value and place.
+
+    Values are multiplied in their own width, as in SQL: a float times 1000 is rounded to a float before its floor.
+    """
+    red = (np.floor(np.abs(np.asarray(v)) * 1000).astype(np.int64) % 256).astype(np.uint8)
     blue = ((7 * red.astype(np.int64) + np.arange(1, 65)) % 256).astype(np.uint8)
     return np.stack([red, red[::-1], blue, np.full(64, 255, np.uint8)], axis=1).reshape(8, 8, 4)
 
