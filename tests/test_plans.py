@@ -78,6 +78,28 @@ def test_byte_columns(spark):
     assert picture.pixels is None and "early" in picture.error
 
 
+def test_byte_functions_hold_a_batch_once(spark):
+    """Of 40 values of 250,000 bytes, the results and one value more are held: neither the values nor the results as lists."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    data = pa.array([bytes([k]) * 250_000 for k in range(39)] + [None])
+    tracemalloc.start()
+    out = fb.byte_function(lambda d: bytes(x ^ 1 for x in d[:4]) + d[4:]).func(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [bytes([k ^ 1]) * 4 + bytes([k]) * 249_996 for k in range(39)] + [None]
+    assert peak < 14_000_000
+
+
+def test_binary_arrays():
+    for given in ([], [None], [b""], [b"ab", None, b"", b"c"] * 5, [b"x"] * 9):
+        made = fb.binary_array(iter(given))
+        made.validate(full=True)
+        assert made.to_pylist() == list(fb.values(made)) == given
+
+
 def test_first_and_last(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 3, "c"), ("k", 2, "b"), ("m", 5, None)], "key string, place int, v string")
     assert sorted(map(tuple, rel.last_wins(df, ["key"], "place").collect())) == [("k", 1, "c"), ("m", 5, None)]

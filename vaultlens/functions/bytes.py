@@ -6,8 +6,10 @@ A codec that meets malformed bytes gives null; ``strict=True`` raises instead.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,20 +22,37 @@ from vaultlens.codecs.errors import MalformedError
 IMAGE = "struct<codec:string,width:int,height:int,mode:string,pixels:binary,error:string>"
 
 
+def values(column: pa.Array) -> Iterator:
+    """The values of a batch one by one, so that it isn't held a second time as Python objects."""
+    return (v.as_py() for v in column)
+
+
+def binary_array(parts: Iterable[bytes | None]) -> pa.Array:
+    """A binary array of values as they come; each is copied to its place at once and let go."""
+    data, ends, valid = bytearray(), array("i", [0]), bytearray()
+    for part in parts:
+        valid.append(part is not None)
+        if part is not None:
+            data += part
+        ends.append(len(data))
+    nulls = None if all(valid) else pa.array(np.packbits(np.frombuffer(valid, np.uint8), bitorder="little")).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(valid), [nulls, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def byte_function(function: Callable[..., bytes], *, strict: bool = False) -> Callable[..., Column]:
     """A column function from a function of bytes and further row values; null in, null out."""
 
+    def one(*row) -> bytes | None:
+        try:
+            return None if row[0] is None else function(*row)
+        except (MalformedError, zlib.error, IndexError):
+            if strict:
+                raise
+            return None
+
     @arrow_udf(BinaryType())
     def run(*columns: pa.Array) -> pa.Array:
-        out = []
-        for row in zip(*(c.to_pylist() for c in columns), strict=True):
-            try:
-                out.append(None if row[0] is None else function(*row))
-            except (MalformedError, zlib.error, IndexError):
-                if strict:
-                    raise
-                out.append(None)
-        return pa.array(out, pa.binary())
+        return binary_array(map(one, *map(values, columns)))
 
     return run
 
@@ -69,7 +88,7 @@ def cipher(data: Column, key: Column, name: str, parameters: dict | None = None,
 
 @arrow_udf(LongType())
 def adler32(data: pa.Array) -> pa.Array:
-    return pa.array([None if d is None else zlib.adler32(d) for d in data.to_pylist()], pa.int64())
+    return pa.array([None if d is None else zlib.adler32(d) for d in values(data)], pa.int64())
 
 
 def charset_decode(data: Column, charset: str) -> Column:
@@ -78,7 +97,7 @@ def charset_decode(data: Column, charset: str) -> Column:
     @arrow_udf(StringType())
     def run(data: pa.Array) -> pa.Array:
         out = []
-        for d in data.to_pylist():
+        for d in values(data):
             try:
                 out.append(None if d is None else d.decode(charset))
             except UnicodeDecodeError:
@@ -104,14 +123,14 @@ def image(data: Column, key: int = 0) -> Column:
     @arrow_udf(IMAGE)
     def run(data: pa.Array) -> pa.Array:
         kind = pa.struct([("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("mode", pa.string()), ("pixels", pa.binary()), ("error", pa.string())])
-        return pa.array([None if d is None else decode_image(d, key) for d in data.to_pylist()], kind)
+        return pa.array([None if d is None else decode_image(d, key) for d in values(data)], kind)
 
     return run(data)
 
 
 @arrow_udf(BinaryType())
 def png_encode(images: pa.Array) -> pa.Array:
-    return pa.array([None if i is None or i["pixels"] is None else png.encode(i["width"], i["height"], i["mode"], i["pixels"]) for i in images.to_pylist()], pa.binary())
+    return binary_array(None if i is None or i["pixels"] is None else png.encode(i["width"], i["height"], i["mode"], i["pixels"]) for i in values(images))
 
 
 # --- built-in functions ------------------------------------------------------------
