@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,32 @@ def test_probing_without_candidates():
     assert detect.probe_apart(xp3.build([Member("a.txt", b"x")])) == []
     odd = xp3.build([Member("a.png", b"no"), Member("b.png", PNG + bytes(300))], True, "poringsoft")
     assert detect.probe_apart(odd) == []
+
+
+class Held:
+    """In place of a DataFrame: keeps the function that would run over its batches."""
+
+    columns = ["archive", "format", "content"]
+
+    def select(self, *columns):
+        return self
+
+    join = select
+
+    def mapInArrow(self, function, schema):  # noqa: N802
+        self.run = function
+        return self
+
+
+def test_scan_hands_on_bounded_batches(spark):
+    data = xp3.build([Member(f"{k}.txt", b"") for k in range(100)])
+    batch = pa.RecordBatch.from_pydict({"archive": [str(k) for k in range(99)] + ["bad"], "format": ["xp3"] * 100, "content": [data] * 99 + [b""]})
+    sizes = [b.num_rows for b in archives.scan(Held()).run(iter([batch, batch]))]
+    assert sum(sizes) == 2 * (99 * 100 + 1) and max(sizes) <= 4096
+
+
+def test_payloads_hand_on_bounded_batches(spark):
+    data = xp3.build([Member(f"{k}.txt", bytes(1 << 20)) for k in range(10)])
+    batch = pa.RecordBatch.from_pydict({"archive": list("abcdefg"), "format": ["xp3"] * 7, "content": [data] * 7})
+    sizes = [b.num_rows for b in archives.payloads(Held()).run(iter([batch]))]
+    assert sum(sizes) == 70 and max(sizes) == 16 and len(sizes) == 5

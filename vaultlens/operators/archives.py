@@ -12,12 +12,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens.codecs.errors import MalformedError
 from vaultlens.formats import arc, det, gsp, registry, vf, xp3
 from vaultlens.formats.model import ENTRY_SCHEMA, Entry, Member
+from vaultlens.functions.batches import arrow_schema, batched, rows_of
 from vaultlens.functions.paths import glob as glob_column
 from vaultlens.functions.paths import identify_format
 
@@ -25,10 +27,6 @@ ENTRIES = ENTRY_SCHEMA + ", error string"
 PAYLOADS = "archive string, format string, ordinal int, file_name string, data binary, status string, error string"
 ARCHIVES = "archive string, format string, content binary"
 
-NAMES = (
-    "archive ordinal file_name offset stored_size original_size flags encrypted compressed scrambled key crc32 ts filetime is_alias segments error"
-).split()
-
 BUILDERS = {
     "xp3": lambda members, options: xp3.build(members, **options),
     "gsp": lambda members, options: gsp.build(members, **options),
@@ -86,26 +84,21 @@ def parse_row(format: str, content: bytes, one_per_key: bool = False, formats: d
 
 def scan(archives: DataFrame, one_per_key: bool = False) -> DataFrame:
     """ENTRIES of every archive; an archive that can't be parsed is one row with its error."""
-    formats = dict(registry.FORMATS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for archive, format, content in zip(b.archive, b.format, b.content, strict=True):
-                try:
-                    rows += [(*e.row(archive, k), None) for k, e in enumerate(parse_row(format, content, one_per_key, formats))]
-                except (MalformedError, KeyError) as e:
-                    rows.append((archive, *[None] * 15, f"{type(e).__name__}: {e}"))
-            frame = pd.DataFrame(rows, columns=NAMES)
-            for c in ("ordinal", "offset", "stored_size", "original_size", "flags", "key", "crc32", "filetime"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+    formats, schema = dict(registry.FORMATS), arrow_schema(ENTRIES)
+    parts = [f.name for f in schema.field("segments").type.value_type]
 
-    return archives.select("archive", "format", "content").mapInPandas(run, ENTRIES)
+    def entries(archive: str, format: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for k, e in enumerate(parse_row(format, content, one_per_key, formats)):
+                *row, segments = e.row(archive, k)
+                yield *row, [dict(zip(parts, s, strict=True)) for s in segments], None
+        except (MalformedError, KeyError) as e:
+            yield archive, *[None] * 15, f"{type(e).__name__}: {e}"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched((e for row in rows_of(batches, "archive", "format", "content") for e in entries(*row)), schema)
 
-#: Bytes of members that are handed on at once.
-PAYLOAD_BYTES = 16 << 20
+    return archives.select("archive", "format", "content").mapInArrow(run, ENTRIES)
 
 
 def payloads(archives: DataFrame, glob: str | None = None, **options) -> DataFrame:
@@ -117,40 +110,32 @@ def payloads(archives: DataFrame, glob: str | None = None, **options) -> DataFra
     import fnmatch
 
     formats, own = dict(registry.FORMATS), [c for c in ("scheme", "parameters") if c in archives.columns]
-    columns = [c.split(" ")[0] for c in PAYLOADS.split(", ")]
-
-    def framed(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=columns)
-        frame["ordinal"] = frame["ordinal"].astype("Int64")
-        return frame
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            schemes = b.scheme if "scheme" in own else [None] * len(b)
-            parameters = b.parameters if "parameters" in own else [None] * len(b)
-            for archive, format, content, scheme, given in zip(b.archive, b.format, b.content, schemes, parameters, strict=True):
-                chosen = options if scheme is None else options | {"scheme": scheme, "parameters": json.loads(given) if given else None}
-                rows, held = [], 0
-                try:
-                    entries = parse_row(format, content, formats=formats)
-                except (MalformedError, KeyError) as e:
-                    entries = []
-                    rows.append((archive, format, None, None, None, "unreadable", str(e)))
-                for k, e in enumerate(entries):
-                    if glob is not None and not fnmatch.fnmatchcase(e.file_name, glob):
-                        continue
-                    try:
-                        rows.append((archive, format, k, e.file_name, formats[format].read(content, e, archive, chosen), "ok", None))
-                        held += len(rows[-1][4])
-                    except (MalformedError, ValueError) as error:
-                        rows.append((archive, format, k, e.file_name, None, "error", str(error)))
-                    if held >= PAYLOAD_BYTES:
-                        yield framed(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield framed(rows)
-
-    return archives.select("archive", "format", "content", *own).mapInPandas(run, PAYLOADS)
+    schema = arrow_schema(PAYLOADS)
+
+    def members(archive: str, format: str, content: bytes, *given: str | None) -> Iterator[tuple]:
+        own_options = dict(zip(own, given, strict=True))
+        chosen = options
+        if own_options.get("scheme") is not None:
+            chosen = options | {"scheme": own_options["scheme"], "parameters": json.loads(own_options.get("parameters") or "null")}
+        try:
+            entries = parse_row(format, content, formats=formats)
+        except (MalformedError, KeyError) as e:
+            yield archive, format, None, None, None, "unreadable", str(e)
+            return
+        for k, e in enumerate(entries):
+            if glob is not None and not fnmatch.fnmatchcase(e.file_name, glob):
+                continue
+            try:
+                data = formats[format].read(content, e, archive, chosen)
+            except (MalformedError, ValueError) as error:
+                yield archive, format, k, e.file_name, None, "error", str(error)
+            else:
+                yield archive, format, k, e.file_name, data, "ok", None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched((m for row in rows_of(batches, "archive", "format", "content", *own) for m in members(*row)), schema)
+
+    return archives.select("archive", "format", "content", *own).mapInArrow(run, PAYLOADS)
 
 
 def segments(entries: DataFrame) -> DataFrame:
