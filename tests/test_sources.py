@@ -184,3 +184,24 @@ def test_command_line(spark, tree, tmp_path, capsys):
         assert cli.main(["extract", str(packed), str(out)]) == 0
         assert (out / "p/t.txt").read_bytes() == b"text" and (out / "p/z.png").read_bytes() == (src / "z.png").read_bytes()
     assert cli.main(["extract", str(tree / "notes.txt"), str(tmp_path / "none")]) == 1
+
+
+def test_unzip_hands_on_bounded_batches(spark):
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    from tests.test_archives import Held
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in range(3):
+            z.writestr(f"{k}.xp3", bytes([k]) * (1 << 20))
+    batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(5000)], "content": [b"PK"] * 4990 + [out.getvalue()] * 10, "done": [True] * 9 + [None] * 4991})
+    got = list(surveys.unzip(spark.createDataFrame([], "path string, content binary"), spark.createDataFrame([], "path string")).schema.names)
+    assert got == ["path", "status", "charset", "file_name", "data"]
+    files = Held()
+    batches = list(surveys.unzip(files, spark.createDataFrame([], "path string")).run(iter([batch])))
+    assert [b.num_rows for b in batches] == [4096, 910, 14]
+    assert {tuple(r.values()) for b in batches[:1] for r in b.slice(0, 9).to_pylist()} == {(str(k), "exists", None, None, None) for k in range(9)}

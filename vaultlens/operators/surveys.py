@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from vaultlens.codecs import tlg
 from vaultlens.codecs.errors import MalformedError
 from vaultlens.codecs.pe import version_strings
 from vaultlens.functions import paths
+from vaultlens.functions.batches import arrow_schema, batched, rows_of
 from vaultlens.functions.bytes import content_sha256
 from vaultlens.operators.relational import first_n_per_group, first_per_key, most_common, without_ancestors
 
@@ -337,13 +339,13 @@ def unzip(files: DataFrame, done: DataFrame) -> DataFrame:
     """ZIP rows of files (path, content): members of those with an archive in them; status extracted, exists, no archive or bad."""
     marked = files.select("path", "content").join(done.select("path", F.lit(True).alias("done")), "path", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content, there in zip(b.path, b.content, b.done, strict=True):
-                rows = [(path, "exists", None, None, None)] if there is True else list(_members(path, content))
-                yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ZIP.split(", ")])
+    schema = arrow_schema(ZIP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(batches, "path", "content", "done")
+        return batched((m for path, content, there in rows for m in ([(path, "exists", None, None, None)] if there else _members(path, content))), schema)
 
-    return marked.mapInPandas(run, ZIP)
+    return marked.mapInArrow(run, ZIP)
 
 
 def _members(path: str, content: bytes) -> Iterator[tuple]:

@@ -203,20 +203,17 @@ def engine_survey(spark, sf_dir):
 def zip_survey(spark, sf_dir):
     """ZIP files with an archive whose name is in another charset, without one, broken, and already there."""
 
-    @F.pandas_udf("binary")
-    def zipped(doc_id: pd.Series, data: pd.Series) -> pd.Series:
-        def one(k, d):
-            if k % 4 == 2:
-                return b"PK" + d
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w") as z:
-                raw = f"テキスト{k}.{'xp3' if k % 2 else 'txt'}".encode("cp932")
-                z.writestr(zipfile.ZipInfo("N" * len(raw)), d)
-            return out.getvalue().replace(b"N" * len(raw), raw)
-
-        return pd.Series([one(*x) for x in zip(doc_id, data, strict=True)])
-
-    files = members(spark, sf_dir).select(F.concat("doc_id", F.lit(".zip")).alias("path"), zipped("doc_id", "data").alias("content"), "doc_id")
+    def one(d: bytes, k: int) -> bytes:
+        if k % 4 == 2:
+            return b"PK" + d
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            raw = f"テキスト{k}.{'xp3' if k % 2 else 'txt'}".encode("cp932")
+            z.writestr(zipfile.ZipInfo("N" * len(raw)), d)
+        return out.getvalue().replace(b"N" * len(raw), raw)
+
+    zipped = fb.byte_function(one)
+    files = members(spark, sf_dir).select(F.concat("doc_id", F.lit(".zip")).alias("path"), zipped("data", "doc_id").alias("content"), "doc_id")
     rows = surveys.unzip(files, files.where("doc_id % 4 = 3").select("path"))
     return rows.select("path", "status", "charset", "file_name", F.when(F.col("data").isNotNull(), F.sha2("data", 256)).alias("sha"))
 
